@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, packing, simhash, token_bpe, url_filter, vptree
+from . import chat_format, exact_dedup, html_extract, line_dedup, packing, simhash, token_bpe, url_filter, vptree
 from .common import table
 
 HOST = r"^[a-z]+://([^/?#:]+)"
@@ -141,6 +141,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -153,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_html_extract": op9_html_extract,
     "op10_bpe_codec": op10_bpe_codec,
 }
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
