@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, line_dedup, packing, simhash, token_bpe, url_filter, vptree
+from . import chat_format, exact_dedup, html_extract, line_dedup, packing, simhash, token_bpe, toxicity, url_filter, vptree
 from .common import table
 
 HOST = r"^[a-z]+://([^/?#:]+)"
@@ -129,6 +129,13 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    detector = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(~toxicity.learned_rows(), F.lit(False))
+    return toxicity.score_texts(docs, detector, carry={"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op3_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -151,6 +158,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
     "op3_vptree": op3_vptree,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
