@@ -65,11 +65,11 @@ def parquet_in_order(spark: SparkSession, paths: list[str], columns: list[str],
     rows = None
     for k, p in enumerate(sorted(paths)):
         df = spark.read.parquet(p)
-        one = df.select(*(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns if c in have), F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"), F.lit(k).alias("k"))
+        one = df.select(*(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns if c in have), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"), F.lit(k).alias("_nth"))
         rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
-    counts = rows.groupBy("k", "f").agg(F.count("*").alias("n"))
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("k", "f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return rows.join(offsets, ["k", "f"]).select((F.col("offset") + F.col("i")).alias(index), *(c for c in columns if c in have))
+    counts = rows.groupBy("_nth", "_file").agg(F.count("*").alias("_n"))
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_nth", "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return rows.join(offsets, ["_nth", "_file"]).select((F.col("_offset") + F.col("_place")).alias(index), *(c for c in columns if c in have))
 
 
 def fetch(rows: DataFrame, index: str, wanted: list[int]) -> DataFrame:
