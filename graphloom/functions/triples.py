@@ -19,6 +19,10 @@ TRIPLE = "struct<h:string,r:string,t:string>"
 SPACE_RANGES = ((9, 13), (28, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 SPACE = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in SPACE_RANGES) + "]"
 ANY_TAG = "<[cr]?(?:subj|rel|obj|e)>"
+#: A part as it is written in canonical form: words with single spaces between, no tag inside.
+_WORD = f"(?:(?!{ANY_TAG})[^" + SPACE[1:] + ")++"
+PART = f"{_WORD}(?: {_WORD})*+"
+CANONICAL = rf"\A<subj>({PART})<rel>({PART})<obj>({PART})<e>\z"
 
 
 def strip(text: Column) -> Column:
@@ -46,8 +50,10 @@ def triple(h: Column, r: Column, t: Column) -> Column:
 def coerce(parts: Column) -> Column:
     """A raw triple, an array of exactly three strings, as struct; null if malformed."""
     at = lambda i: F.get(parts, F.lit(i))
-    good = (F.size(parts) == 3) & part_ok(at(0)) & part_ok(at(1)) & part_ok(at(2))
-    return F.when(good, triple(*(collapse(at(i)) for i in range(3))))
+    raw = triple(*(at(i) for i in range(3)))
+    good = part_ok(at(0)) & part_ok(at(1)) & part_ok(at(2))
+    # Nearly all parts are canonical already, which one match tells.
+    return F.when(F.size(parts) == 3, F.when(F.regexp_like(serialize(raw), F.lit(CANONICAL)), raw).when(good, triple(*(collapse(at(i)) for i in range(3)))))
 
 
 def serialize(x: Column, family: str = "neutral") -> Column:
@@ -55,6 +61,11 @@ def serialize(x: Column, family: str = "neutral") -> Column:
     return F.concat(F.lit(a), x["h"], F.lit(b), x["r"], F.lit(c), x["t"], F.lit(d))
 
 
+def is_canonical(text: Column) -> Column:
+    """Whether a string is the neutral form of a triple, to the letter."""
+    return F.coalesce(F.regexp_like(text, F.lit(CANONICAL)), F.lit(False))
+
+
 def parse(text: Column) -> Column:
     """The struct of a tagged string of any family; null if it is not exactly one well-formed triple."""
     found = F.lit(None).cast(TRIPLE)
@@ -62,7 +73,7 @@ def parse(text: Column) -> Column:
         pattern = rf"\A{SPACE}*{a}([\s\S]+?){b}([\s\S]+?){c}([\s\S]+?){d}{SPACE}*\z"
         parts = F.array(*(F.regexp_extract(text, pattern, i) for i in (1, 2, 3)))
         found = F.when(F.regexp_like(text, F.lit(pattern)), coerce(parts)).otherwise(found)
-    return found
+    return F.when(is_canonical(text), triple(*(F.regexp_extract(text, CANONICAL, i) for i in (1, 2, 3)))).otherwise(found)
 
 
 def is_serialized(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .graph import components, edges_of, reachable
 from .joins import edge_difference
+from .lineage import checkpointed
 
 
 def is_special(public: Column, private: Column) -> Column:
@@ -38,12 +39,13 @@ def inference_open(local: DataFrame, private: DataFrame, whole: DataFrame, rec:
     single document is built.
     """
     edge = [rec, "h", "t"]
+    local, private = checkpointed(local.select(rec, ctx, "h", "r", "t").distinct()), checkpointed(private.select(rec, "h", "r", "t").distinct())
     mine = local.join(private.select(*edge, "r").distinct(), [rec, "h", "r", "t"], "left_semi").select(rec, ctx, "h", "t").distinct()
-    public = edge_difference(whole.select(*edge).distinct(), private, edge)
+    public = checkpointed(edge_difference(whole.select(*edge).distinct(), private, edge))
     pairs = lambda x: x.select(rec, F.col("h").alias("a"), F.col("t").alias("b"))
     back = lambda x, *k: x.select(*k, F.col("a").alias("h"), F.col("b").alias("t"))
     likely = back(reachable(pairs(mine), components(edges_of(public, [rec]), [rec]), [rec]), rec)
-    asked = mine.join(likely, edge, "left_semi")
+    asked = checkpointed(mine.join(likely, edge, "left_semi"))
     keys = [rec, ctx]
     docs = asked.select(*keys).distinct()
     # The document's own edges leave the graphs of the record: its public ones the public graph, its private ones the private graph.
@@ -51,6 +53,6 @@ def inference_open(local: DataFrame, private: DataFrame, whole: DataFrame, rec:
     other_public = edge_difference(docs.join(public, rec), own_public, [*keys, "h", "t"])
     other_private = edge_difference(docs.join(private.select(*edge).distinct(), rec), mine, [*keys, "h", "t"])
     ab = asked.select(*keys, F.col("h").alias("a"), F.col("t").alias("b"))
-    shown = reachable(ab, components(edges_of(other_public, keys), keys), keys)
+    shown = checkpointed(reachable(ab, components(edges_of(other_public, keys), keys), keys))
     hidden = reachable(shown, components(edges_of(other_private, keys), keys), keys)
     return back(shown.join(hidden, [*keys, "a", "b"], "left_anti"), *keys)

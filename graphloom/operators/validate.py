@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fingerprint, in_unit
-from ..functions.triples import collapse, normalize_collection, part_ok, serialize, strip
+from ..functions.triples import coerce, is_canonical, serialize, strip
+from .lineage import checkpointed
 from .runs import run_stats
 
 RETRIEVED, RL, SFT = ("question", "answers", "ctxs"), ("public", "privacy", "ctxs"), ("public", "private", "text", "anonymized_text", "o_public", "o_private")
@@ -99,22 +100,14 @@ def validate_retrieved(records: DataFrame, contexts: int = 10) -> DataFrame:
 
 def _raw(v: Column, path: str) -> Column:
     """Raw triples in a list: the good ones as neutral strings, null for the others."""
-    at = lambda x, i: F.try_variant_get(x, f"$[{i}]", "string")
-    three = lambda x: F.coalesce((kind(x, "$") == "ARRAY<STRING>") & (F.size(F.try_variant_get(x, "$", "array<string>")) == 3), F.lit(False))
-    good = lambda x: three(x) & part_ok(at(x, 0)) & part_ok(at(x, 1)) & part_ok(at(x, 2))
-    text = lambda x: serialize(F.struct(collapse(at(x, 0)).alias("h"), collapse(at(x, 1)).alias("r"), collapse(at(x, 2)).alias("t")))
-    return F.transform(items(v, path), lambda x: F.when(good(x), text(x)))
+    parts = F.transform(items(v, path), lambda x: F.when(F.schema_of_variant(x) == "ARRAY<STRING>", F.try_variant_get(x, "$", "array<string>")))
+    return F.transform(F.transform(parts, coerce), lambda t: F.when(t.isNotNull(), serialize(t)))
 
 
 def _tagged(v: Column, path: str) -> Column:
     """Canonical neutral strings in a list, null for anything else."""
-    return F.transform(items(v, path), lambda x: F.when(kind(x, "$") == "STRING", F.when(_canonical(x), F.try_variant_get(x, "$", "string"))))
-
-
-def _canonical(x: Column) -> Column:
-    text = F.try_variant_get(x, "$", "string")
-    one = F.get(normalize_collection(x), F.lit(0))
-    return F.coalesce(serialize(one) == text, F.lit(False))
+    texts = F.transform(items(v, path), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    return F.transform(texts, lambda t: F.when(is_canonical(t), t))
 
 
 def _nulls(a: Column) -> Column:
@@ -152,10 +145,17 @@ def sft_errors(rows: DataFrame) -> DataFrame:
 
 def validate_sft(records: DataFrame) -> DataFrame:
     """records_total, records_with_errors, repeats and empties of each collection, runs of (public, private)."""
-    rows = sft_rows(records)
     cols = ("public", "private", "o_public", "o_private")
-    counts = rows.agg(F.count("*").alias("records_total"), F.count_if(F.size(errors_of(sft_checks())) > 0).alias("records_with_errors"), *(F.coalesce(F.sum(F.when(F.col("whole"), repeats(F.col(c)))), F.lit(0)).alias(f"duplicate_{c}") for c in cols), *(F.count_if(F.col("whole") & (F.size(_good(F.col(c))) == 0)).alias(f"empty_{c}") for c in cols))
-    runs = run_stats(rows.where("whole").withColumn("fp", fingerprint(F.to_json(F.try_variant_get("v", "$.public", "variant")), F.to_json(F.try_variant_get("v", "$.private", "variant")))), "line", "fp")
+    fp = fingerprint(F.to_json(F.try_variant_get("v", "$.public", "variant")), F.to_json(F.try_variant_get("v", "$.private", "variant")))
+    rows = sft_rows(records).select("line", "whole", (F.size(errors_of(sft_checks())) > 0).alias("bad"), fp.alias("fp"), *(repeats(F.col(c)).alias(f"repeats_{c}") for c in cols), *(F.size(_good(F.col(c))).alias(f"size_{c}") for c in cols))
+    flat = checkpointed(rows)
+    counts = flat.agg(
+        F.count("*").alias("records_total"),
+        F.count_if("bad").alias("records_with_errors"),
+        *(F.coalesce(F.sum(F.when(F.col("whole"), F.col(f"repeats_{c}"))), F.lit(0)).alias(f"duplicate_{c}") for c in cols),
+        *(F.count_if(F.col("whole") & (F.col(f"size_{c}") == 0)).alias(f"empty_{c}") for c in cols),
+    )
+    runs = run_stats(flat.where("whole").select("line", "fp"), "line", "fp")
     return counts.crossJoin(runs.withColumnRenamed("unique_values", "unique_fingerprints")).withColumn("valid", F.col("records_with_errors") == 0)
 
 
