@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import checkpointed, shared_folder
+
+__all__ = ["BLANK", "checkpointed", "fresh", "join_skewed", "shared_folder", "small_batches", "table", "text_or_empty"]
 #: ASCII white space as a Java character class.
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -16,26 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a temporary one is made.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        folder = Path(tempfile.mkdtemp(prefix="graphloom-")).as_uri()
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a copy in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -46,3 +26,23 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in used:
         name = f"_{name}"
     return name
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, most: int = 1000, least: int = 1000) -> DataFrame:
+    """Inner join with a right side that has one row for each key and, in ``weight``, about how many rows of the left side have it.
+
+    The (at most ``most``) heaviest keys of ``least`` rows or more go to every task, so their rows stay
+    where they are; the others, none of them heavy, meet in a shuffle.
+    """
+    right = checkpointed(right)
+    hot = F.broadcast(right.where(F.col(weight) >= least).orderBy(F.desc(weight), key).limit(most))
+    names = hot.select(key)
+    cold = left.join(F.broadcast(names), key, "left_anti").join(right.join(F.broadcast(names), key, "left_anti"), key)
+    return left.join(hot, key).unionByName(cold)
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Lets no more rows than these travel to Python at a time, in this session: rows hold whole texts."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))

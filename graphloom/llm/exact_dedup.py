@@ -3,7 +3,7 @@
 Pass one fills, for every slice of the hash space, a Bloom filter whose cells hold 0, 1 or "2 and
 more". A hash whose cells all hold "2 and more" is possibly repeated; any other hash is certainly
 single. Pass two asks that filter about every row: single rows pass straight through, the others are
-grouped by their digest. False positives of the filter are groups of one, so the result is exact.
+grouped by their digest (the largest groups without moving their rows). False positives of the filter are groups of one, so the result is exact.
 
 A slice's filter has at most ``MAX_FILTER_BYTES``, so it can be broadcast whatever the corpus holds;
 a larger corpus has more slices, not larger filters.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, checkpointed, fresh, text_or_empty
+from .common import BLANK, checkpointed, fresh, join_skewed, text_or_empty
 
 BITS_PER_ROW = 16
 MAX_FILTER_BYTES = 32 << 20
@@ -107,7 +107,7 @@ def flag_possibly_repeated(keys: DataFrame, hash_col: str, out: str) -> DataFram
 def _unsigned(name: str) -> Column:
     """The hash as an unsigned number, as numpy sees it."""
     c = F.col(name).cast("decimal(20,0)")
-    return F.when(c < 0, c + F.lit(2**64).cast("decimal(20,0)")).otherwise(c)
+    return F.when(c < 0, c + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(c)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -133,7 +133,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     again = flagged.where(F.col(maybe)).drop(maybe)
     per_id = again.groupBy(sha, id_col).agg(F.count("*").alias("c"))
     groups = per_id.groupBy(sha).agg(F.min(id_col).alias(keep), F.sum("c").alias(size), F.coalesce(F.min_by("c", id_col), F.sum("c")).alias(n_keep))
-    joined = again.join(groups, sha)
+    joined = join_skewed(again, groups, sha, size)
     first = F.col(id_col).eqNullSafe(F.col(keep))
     clear = joined.where(~first | (F.col(n_keep) == 1)).select(*names, keep, size, first.alias("kept"), sha)
     # Repeated ids: ranks inside salts first, so that no task gets all copies of one row.

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_or_empty
+from .common import checkpointed, fresh, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: So many lines at most, of so many documents at least, are met by broadcast.
+HOT = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,11 +28,11 @@ def line_hash(line: Column, min_chars: int) -> Column:
 
 
 def repeated_lines(docs: DataFrame, text_col: str, id_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(h, last): the hash of each line found in at least ``min_docs`` documents, the largest id holding it."""
+    """(h, n, last): the hash of each line that n >= ``min_docs`` documents hold, and the largest of their ids."""
     lines = F.split(text_or_empty(text_col), "\n")
     hashes = F.array_distinct(F.array_compact(F.transform(lines, lambda x: line_hash(x, min_chars))))
     counted = docs.select(F.col(id_col).alias("id"), F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("last"))
-    return counted.where(F.col("n") >= min_docs).select("h", "last")
+    return counted.where(F.col("n") >= min_docs)
 
 
 def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -46,8 +48,15 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     doc = docs.select(F.col(id_col).alias("id"), F.split(text_or_empty(text_col), "\n").alias(lines), F.unhex(F.md5(text_or_empty(text_col).cast("binary"))).alias(mark))
     where = F.transform(F.col(lines), lambda x: line_hash(x, min_chars))
     rows = doc.select("id", mark, F.posexplode(where).alias("pos", "h")).where("h is not null")
-    drop = repeated_lines(docs, text_col, id_col, min_chars, min_docs)
-    lost = rows.join(drop, "h").where(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")))
+    drop = checkpointed(repeated_lines(docs, text_col, id_col, min_chars, min_docs))
+    # The commonest lines are met by broadcast; their rows take keys of their own, which meet nothing, through the shuffle.
+    hot = drop.where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(HOT)
+    seen = rows.join(F.broadcast(hot.select(F.col("h").alias("hot"), F.col("last").alias("hot_last"))), F.col("h") == F.col("hot"), "left")
+    own = F.unhex(F.md5(F.concat("h", F.encode(F.concat_ws(" ", F.col("id").cast("string"), F.col("pos").cast("string")), "UTF-8"))))
+    spread = seen.withColumn("k", F.when(F.col("hot").isNull(), F.col("h")).otherwise(own))
+    cold = drop.join(F.broadcast(hot.select("h")), "h", "left_anti").select(F.col("h").alias("k"), F.col("last").alias("cold_last"))
+    met = spread.join(cold, "k", "left").withColumn("last", F.coalesce("hot_last", "cold_last"))
+    lost = met.where(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")))
     # Equal rows lose equal positions, so a set of them serves every copy.
     gone = lost.groupBy("id", mark).agg(F.collect_set("pos").alias("gone")).select(F.col("id").alias("gone_id"), F.col(mark).alias("gone_mark"), "gone")
     both = doc.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col(mark) == F.col("gone_mark")), "left")

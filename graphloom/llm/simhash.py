@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh
+from .common import checkpointed, fresh, join_skewed, small_batches
 
 SHINGLE = 3
 RADIUS = 2
@@ -55,6 +55,7 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text_col: str, carry: dict[str, Column], words: int = SHINGLE) -> DataFrame:
     """The carried columns and fp, the fingerprint as a signed long."""
 
+    small_batches(docs)
     names = [*carry, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +180,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     fewer words than a shingle has one shingle. Null ids are never smallest, unless a component has no other.
     """
     rows = checkpointed(fingerprints(docs, text_col, {"id": F.col(id_col)}, words))
-    smallest = rows.groupBy("fp").agg(F.min("id").alias("own"))
+    smallest = rows.groupBy("fp").agg(F.min("id").alias("own"), F.count("*").alias("copies"))
     known = smallest.join(_grouped(rows, radius).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     tops = known.groupBy("root").agg(F.min("own").alias("component_id"))
-    mapped = known.join(tops, "root").select("fp", "component_id")
-    return rows.join(mapped, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    mapped = known.join(tops, "root").select("fp", "component_id", "copies")
+    return join_skewed(rows, mapped, "fp", "copies").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
