@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Fixed values of HTML: void elements, elements whose text is not shown, elements that break lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template noscript head title iframe object svg math canvas audio video select option datalist textarea".split())
@@ -398,6 +400,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
     A null or empty page has empty text, and so has one without content. Rows do not move; pages are
     read whole. The model is small and travels with the task.
     """
+    small_batches(pages)
     made = model or default_model()
     names = [*keep, "text", "n_chars"]
 

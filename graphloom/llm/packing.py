@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .token_bpe import PLAIN, byte_letters
 
 LENGTH = 1024
@@ -130,6 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str =
     Rows are packed each for itself, repeated ids and texts too; ids may be null. An empty table
     gives no pieces.
     """
+    small_batches(docs)
     groups = max(1, -(-docs.count() // group))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

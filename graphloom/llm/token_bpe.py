@@ -24,11 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CACHE = 300_000
 #: The fixed words of the tokenizer's own split, as its file states them.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Letters up to here normalise alike in Python and in the library; texts beyond ask the library.
-PLAIN = re.compile("[^\\x00-ɏ]")
+#: Texts with other than these characters ask the library: Python might normalise or class them otherwise.
+PLAIN = re.compile("[^\\t-\\r\\x20-\\x7e\\xa1-\\u024f]")
 BLANKS = re.compile(r"\s+")
 
 
@@ -127,9 +129,12 @@ class Bpe:
             self.known[key] = answer
         return answer
 
-    def word(self, text: str) -> list[int]:
-        """The ids of one word of the split, by the program over its prefixes."""
-        packed = text.encode("utf-8").decode("latin-1").translate(self.bytes_to_text)
+    def letters(self, text: str) -> str:
+        """A word's bytes as printable letters."""
+        return text.encode("utf-8").decode("latin-1").translate(self.bytes_to_text)
+
+    def word(self, packed: str) -> list[int]:
+        """The ids of one word, given in letters, by the program over its prefixes."""
         if self.suffix:
             packed = packed[:-1] + self.ends[packed[-1]]
         n = len(packed)
@@ -162,13 +167,14 @@ class Encoder:
         self.specials = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")") if self.bpe.special else None
         self.seen: dict[str, tuple[bytes, str]] = {}
 
-    def normalise(self, text: str) -> str:
-        if PLAIN.search(text):
-            return self.library.normalizer.normalize_str(text)
-        return BLANKS.sub(" ", unicodedata.normalize("NFC", text)).lower()
+    def words(self, piece: str) -> list[str]:
+        """The words of a piece; where Python's letters may not be the library's, by the library, in letters after a zero."""
+        if PLAIN.search(piece):
+            return ["\0" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
+        return self.split.findall(BLANKS.sub(" ", unicodedata.normalize("NFC", piece)).lower())
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        ids = self.bpe.word(word)
+        ids = self.bpe.word(word[1:] if word[0] == "\0" and len(word) > 1 else self.bpe.letters(word))
         found = np.array(ids, "<u4").tobytes(), " ".join(map(self.bpe.names.__getitem__, ids))
         if len(self.seen) >= CACHE:
             self.seen.clear()
@@ -188,7 +194,7 @@ class Encoder:
                 ids.append(i.to_bytes(4, "little"))
                 words.append(self.bpe.names[i])
                 continue
-            for w in self.split.findall(self.normalise(piece)):
+            for w in self.words(piece):
                 a, b = seen.get(w) or make(w)
                 ids.append(a)
                 words.append(b)
@@ -207,6 +213,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col
     control strings inside it are single ids, as there. Null and empty texts have no ids and decode to
     nothing. Whole texts are read, whatever their length; rows neither move nor meet.
     """
+    small_batches(docs)
     extra = [("ids", pa.binary()), ("decoded", pa.string())] if keep else []
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *extra])
 

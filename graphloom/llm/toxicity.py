@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,11 +29,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, small_batches
 
 #: At most so many labelled texts of each class are learned from, and so many characters of them.
-SAMPLE, SAMPLE_CHARS = 2500, 10_000_000
-BASE, PART = 2048, 24576
+SAMPLE, SAMPLE_CHARS = 2500, 8_000_000
+#: Sizes of the common base to choose from by the loss on texts not learned from, and of each class's part, in symbols.
+BASES, PART = (1024, 2048, 4096), 24576
+#: Bytes of ordinary text that the base is trained on.
+BASE_SAMPLE = 1_000_000
 LEAST_CONTEXTS, RATIO = 6, 12.0
 #: A window that a text repeats counts so many times at most.
 REPEATS = 3
@@ -123,10 +126,13 @@ def _features(ds: list[int], table: list[float]) -> list[float]:
 
 def _contexts(texts: list[list[bytes]]) -> Counter:
     """In how many different contexts each window occurs."""
-    seen = set()
+    seen, counts = set(), Counter()
     for ws in texts:
-        seen.update(zip([b"", *ws[:-1]], ws, [*ws[1:], b""], strict=True))
-    return Counter(b" " + w + b" " for _, w, _ in seen)
+        for context in zip([b"", *ws[:-1]], ws, [*ws[1:], b""], strict=True):
+            if (h := hash(context)) not in seen:
+                seen.add(h)
+                counts[context[1]] += 1
+    return Counter({b" " + w + b" ": n for w, n in counts.items()})
 
 
 def _typical(own: Counter, other: Counter) -> list[bytes]:
@@ -169,20 +175,37 @@ def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> De
         return Detector(bytes(8), bytes(8), [0.0] * (2 * TOP + 1), [odds, *[0.0] * 7])
     bad, good = [windows(t) for t in toxic], [windows(t) for t in ordinary]
     learn = [[x for i, x in enumerate(c) if i % 3] for c in (bad, good)]
+    rest = [[x for i, x in enumerate(c) if i % 3 == 0] for c in (bad, good)]
     count = [_contexts(c) for c in learn]
-    samples = [wide(b" " + b" ".join(ws) + b" ") for ws in learn[1]]
-    try:
-        base = zstandard.train_dictionary(4 * BASE, samples, d=8, k=64, steps=4, f=20).as_bytes()[-4 * BASE :]
-    except zstandard.ZstdError:  # too few or too short samples for the trainer
-        base = b"".join(samples)[-4 * BASE :]
     marks, plain = _typical(count[0], count[1]), _typical(count[1], count[0])
+    del count
+    samples, room = [], BASE_SAMPLE
+    for ws in learn[1]:
+        text = b" " + b" ".join(ws) + b" "
+        room -= len(text)
+        if room < 0 and samples:
+            break
+        samples.append(wide(text))
+    best: tuple[float, Detector] | None = None
+    for size in BASES:
+        try:
+            base = zstandard.train_dictionary(4 * size, samples, d=8, k=64, steps=4, f=20).as_bytes()[-4 * size :]
+        except zstandard.ZstdError:  # too few or too short samples for the trainer
+            base = b"".join(samples)[-4 * size :]
+        loss, detector = _calibrated(marks, plain, base, rest, share)
+        if best is None or loss < best[0]:
+            best = loss, detector
+    return best[1]
+
+
+def _calibrated(marks: list[bytes], plain: list[bytes], base: bytes, rest: list[list[list[bytes]]], share: float) -> tuple[float, Detector]:
+    """The detector over one base, and its logistic loss on texts that no dictionary has seen."""
     for _ in range(2):
         detector = Detector(_join(marks, PART) + base, _join(plain, PART) + base, [], [])
         ask = Distances(detector.toxic, detector.ordinary).one
         # What is no shorter with the toxic part is of no use in it.
         marks = [w for w in marks if ask(w.strip()) > 0]
-    half = [[x for i, x in enumerate(c) if i % 3 == 0] for c in (bad, good)]
-    found = [[_distances_of(ws, ask) for ws in c] for c in half]
+    found = [[_distances_of(ws, ask) for ws in c] for c in rest]
     spread = [np.bincount(np.clip(np.array([d for ds in c for d in ds] or [0]), -TOP, TOP) + TOP, minlength=2 * TOP + 1) + 0.5 for c in found]
     table = np.log(spread[0] / spread[0].sum()) - np.log(spread[1] / spread[1].sum())
     table[: TOP + 1] = np.minimum(table[: TOP + 1], 0)
@@ -190,9 +213,11 @@ def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> De
     x = np.array([_features(ds, table.tolist()) for c in found for ds in c])
     y = np.repeat([1.0, 0.0], [len(found[0]), len(found[1])])
     weights = _logistic(x, y)
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), 1e-9, 1 - 1e-9)
+    loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
     given = len(found[0]) / (len(found[0]) + len(found[1]))
     weights[0] += math.log(share / (1 - share)) - math.log(given / (1 - given))
-    return Detector(detector.toxic, detector.ordinary, table.tolist(), weights.tolist())
+    return loss, Detector(detector.toxic, detector.ordinary, table.tolist(), weights.tolist())
 
 
 def learned_rows(id_col: str = "doc_id") -> Column:
@@ -209,39 +234,39 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learned_rows(id_col)).groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("y"))
     share = known.agg(F.avg("y")).first()[0]
-    texts: list[list[str]] = [[], []]
-    for y in (0, 1):
-        picked = known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(SAMPLE)
-        sized = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(picked), "i").select("t", F.xxhash64("i").alias("h"), F.char_length("t").alias("n"))
-        room = SAMPLE_CHARS
-        for row in sized.orderBy("h", "t").select("t", "n").limit(SAMPLE).toLocalIterator():
-            room -= row.n
-            if room < 0:
-                break
-            texts[y].append(row.t)
-    return fit(texts[1], texts[0], min(0.9, max(0.01, share)) if share is not None else None)
+    first = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(SAMPLE)
+    picked = F.broadcast(first(0).unionByName(first(1)))
+    found = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(picked, "i").select("y", "t", F.xxhash64("i").alias("h"))
+    texts: list[list[tuple[int, str]]] = [[], []]
+    room = [SAMPLE_CHARS, SAMPLE_CHARS]
+    for row in found.toLocalIterator():
+        room[row.y] -= len(row.t)
+        if room[row.y] >= 0 and len(texts[row.y]) < SAMPLE:
+            texts[row.y].append((row.h, row.t))
+    ordinary, toxic = ([t for _, t in sorted(c)] for c in texts)
+    del texts
+    return fit(toxic, ordinary, min(0.9, max(0.01, share)) if share is not None else None)
 
 
-def score_texts(docs: DataFrame, detector: Detector, text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
-    """The carried columns, score and predicted for every row: whole texts, null as empty; rows do not move."""
-    carry = carry or {}
-    names = [*carry, "score", "predicted"]
+def score_column(detector: Detector, text: Column) -> Column:
+    """The score of a text, null as empty. Only texts travel to Python and only scores come back."""
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([detector.score(t.as_py() or "") for t in texts], pa.float64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                scores = [detector.score(t.as_py() or "") for t in batch.column(0)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=names)
+    return score(text)
 
-    rows = docs.select(F.col(text_col).alias("text"), *(c.alias(k) for k, c in carry.items()))
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "score double, predicted int"]))
+
+def score_texts(docs: DataFrame, detector: Detector, text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """The carried columns, score and predicted for every row: whole texts, null as empty; rows do not move."""
+    small_batches(docs)
+    scored = docs.select(*(c.alias(k) for k, c in (carry or {}).items()), score_column(detector, F.col(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_ordinary(docs: DataFrame, detector: Detector, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their own columns only."""
-    inside = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.withColumnsRenamed(inside)
-    mark = fresh("predicted", plain.columns)
-    done = score_texts(plain, detector, inside[text_col], {c: F.col(c) for c in plain.columns})
-    return done.withColumnRenamed("predicted", mark).where(F.col(mark) == 0).select(*(F.col(v).alias(k) for k, v in inside.items()))
+    small_batches(docs)
+    mark = fresh("score", docs.columns)
+    return docs.withColumn(mark, score_column(detector, F.col(text_col))).where(F.col(mark) < 0.5).drop(mark)
