@@ -19,9 +19,17 @@ QUERIES: dict[str, Query] = {}
 STEPS = ("rec", "h", "r", "t")
 
 
+#: Ordinals, which windows count as ints; results have them as longs, as SQL does.
+ORDINALS = ("ctx_pos", "t_pos", "pos", "rank")
+
+
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = f(spark, sf_dir)
+        return out.withColumns({c: F.col(c).cast("long") for c in out.columns if c in ORDINALS})
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def nine(c) -> F.Column:

@@ -96,7 +96,7 @@ ORACLES: dict[str, str] = {
     "redact_prefix": "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '.' ELSE page_id || ' ' || url END AS text FROM pages",
     "merge_global": f"{FULL} SELECT rec, ctx_pos, t_pos, h, r, t FROM merged",
     "merge_counters": f"{FULL} SELECT rec, count(*) AS seen, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("kept", "duplicate", "collision", "substring")) + " FROM st GROUP BY rec",
-    "tail_in_head_filter": "WITH p AS (SELECT p_partkey AS rec, 0 AS t_pos, p_name AS h, split_part(p_name, ' ', -1) AS t FROM part UNION ALL SELECT p_partkey, 1, p_name, 'Maker' FROM part) SELECT rec, t_pos, CASE WHEN contains(h, t) THEN 'substring' ELSE 'kept' END AS status FROM p",
+    "tail_in_head_filter": "WITH p AS (SELECT p_partkey AS rec, CAST(0 AS BIGINT) AS t_pos, p_name AS h, split_part(p_name, ' ', -1) AS t FROM part UNION ALL SELECT p_partkey, 1, p_name, 'Maker' FROM part) SELECT rec, t_pos, CASE WHEN contains(h, t) THEN 'substring' ELSE 'kept' END AS status FROM p",
     "pair_dedup": f"{BASE} SELECT rec, ctx_pos, t_pos, h, r, t FROM kg WHERE h <> t QUALIFY row_number() OVER (PARTITION BY rec, least(h, t), greatest(h, t) ORDER BY ctx_pos, t_pos) = 1",
     "pair_counters": f"{BASE}, c AS (SELECT rec, count(*) AS raw, count(*) FILTER (WHERE h = t) AS self_loops, count(DISTINCT (h, r, t)) FILTER (WHERE h <> t) AS d, count(DISTINCT (least(h, t), greatest(h, t))) FILTER (WHERE h <> t) AS kept FROM kg GROUP BY rec) SELECT rec, raw, self_loops, raw - self_loops - d AS duplicates, d - kept AS pair_repeats, kept FROM c",
     "edge_dedup": f"{BASE} SELECT DISTINCT rec, h, t FROM kg WHERE h <> t",
