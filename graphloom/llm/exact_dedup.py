@@ -11,14 +11,16 @@ a larger corpus has more slices, not larger filters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, checkpointed, fresh, join_skewed, text_or_empty
+from .common import BLANK, checkpointed, fresh, join_skewed, shared_folder, text_or_empty
 
 BITS_PER_ROW = 16
 MAX_FILTER_BYTES = 32 << 20
@@ -74,34 +76,53 @@ def _repeated_cells(hashes: DataFrame, slices: int, size: int) -> DataFrame:
 
 
 def flag_possibly_repeated(keys: DataFrame, hash_col: str, out: str) -> DataFrame:
-    """Adds a boolean column: false only where no other row has the hash."""
+    """Adds a boolean column: false only where no other row has the hash.
+
+    With more than one slice the rows are written once, parted by slice, and once more with their
+    flags, so each slice reads its own rows only and one filter at a time is in memory.
+    """
+    spark = keys.sparkSession
     total = keys.count()
     slices = max(1, -(-total * BITS_PER_ROW // (MAX_FILTER_BYTES * 8)))
     size = max(1024, -(-total * BITS_PER_ROW // slices))
     segments = -(-size // SEGMENT)
-    bitmaps = checkpointed(_repeated_cells(keys.select(hash_col), slices, size))
-    parts = []
+    if slices == 1:
+        bitmaps = _repeated_cells(keys.select(hash_col), slices, size)
+        return keys.withColumn(out, _asker(_filter(bitmaps, segments), size)(F.col(hash_col)))
+    part = fresh("slice", keys.columns)
+    folder = f"{shared_folder(spark)}/bloom-{uuid.uuid4().hex}"
+    keys.withColumn(part, F.pmod(_unsigned(hash_col), F.lit(slices)).cast("int")).sortWithinPartitions(part).write.partitionBy(part).parquet(f"{folder}/parted")
+    parted = spark.read.parquet(f"{folder}/parted")
+    bitmaps = checkpointed(_repeated_cells(parted.select(hash_col), slices, size))
     for k in range(slices):
-        rows = bitmaps.where(F.col("part").between(k * segments, (k + 1) * segments - 1)).collect()
-        known = keys.sparkSession.sparkContext.broadcast({r.part % segments: bytes(r.bitmap) for r in rows})
+        known = _filter(bitmaps.where(F.col("part").between(k * segments, (k + 1) * segments - 1)), segments)
+        own = parted.where(F.col(part) == k).drop(part)
+        own.withColumn(out, _asker(known, size)(F.col(hash_col))).write.mode("append").parquet(f"{folder}/flagged")
+        known.destroy()
+    return spark.read.schema(keys.schema.add(out, "boolean")).parquet(f"{folder}/flagged")
+
+
+def _filter(bitmaps: DataFrame, segments: int) -> Broadcast:
+    """One slice's filter, of ``MAX_FILTER_BYTES`` at most, for all tasks."""
+    return bitmaps.sparkSession.sparkContext.broadcast({r.part % segments: bytes(r.bitmap) for r in bitmaps.collect()})
 
-        @F.pandas_udf("boolean")
-        def ask(h, known=known):
-            import pandas as pd
 
-            _, *both = _cells(h.to_numpy(), slices, size)
-            hit = np.ones(len(h), bool)
-            for cells in both:
-                for s in np.unique(cells // SEGMENT):
-                    at = cells // SEGMENT == s
-                    bits = np.frombuffer(known.value.get(int(s)) or bytes(SEGMENT // 8), np.uint8)
-                    inside = cells[at] % SEGMENT
-                    hit[at] &= (bits[inside >> 3] >> (7 - (inside & 7)).astype(np.uint8) & 1).astype(bool)
-            return pd.Series(hit)
+def _asker(known: Broadcast, size: int) -> Callable[[Column], Column]:
+    @F.pandas_udf("boolean")
+    def ask(h):
+        import pandas as pd
 
-        own = keys if slices == 1 else keys.where(F.pmod(_unsigned(hash_col), F.lit(slices)) == k)
-        parts.append(own.withColumn(out, ask(F.col(hash_col))))
-    return _union(parts)
+        _, *both = _cells(h.to_numpy(), 1, size)
+        hit = np.ones(len(h), bool)
+        for cells in both:
+            for s in np.unique(cells // SEGMENT):
+                at = cells // SEGMENT == s
+                bits = np.frombuffer(known.value.get(int(s)) or bytes(SEGMENT // 8), np.uint8)
+                inside = cells[at] % SEGMENT
+                hit[at] &= (bits[inside >> 3] >> (7 - (inside & 7)).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(hit)
+
+    return ask
 
 
 def _unsigned(name: str) -> Column:
@@ -110,12 +131,6 @@ def _unsigned(name: str) -> Column:
     return F.when(c < 0, c + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(c)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    while len(parts) > 1:
-        parts = [a if b is None else a.unionByName(b) for a, b in zip(parts[::2], [*parts[1::2], *[None] * (len(parts) % 2)], strict=True)]
-    return parts[0]
-
-
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 and the carried columns.
 
