@@ -1,7 +1,8 @@
 """Undirected reachability inside records.
 
-A record's graph fits in a task (a record is a question with its documents); there are many records.
-So components are labelled per record in Arrow groups with a union-find. Reachability asks whether a
+A record's graph usually fits in a task (a record is a question with its documents), and there are many
+records. So components are labelled per record in Arrow groups with a union-find; a record that is too
+large for that is labelled by rounds of star contraction over all tasks. Reachability asks whether a
 node of the start's component equals, contains or is contained in the goal: a join by component with
 that test as residual. Only the goal is tested so, and the start itself counts as visited.
 """
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import names_match
+from .lineage import checkpointed
+
+#: Edges of one graph that a task labels.
+LARGEST = 500_000
 
 
 class UnionFind:
@@ -43,9 +48,48 @@ def adjacency(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.select(*keys, "u", "v").unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, comp): comp is the smallest node, in code-point order, of the node's component."""
-    plain = edges.select(*keys, "u", "v").where("u is not null and v is not null").distinct()
+def star_components(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, comp) for all nodes that an edge (keys, u, v) links to another; comp is the smallest node reachable.
+
+    For graphs of any size: alternates large and small stars. Every node links its larger (then its
+    smaller) neighbours to the smallest neighbour, until nothing changes; each round is cut in the shared
+    folder. Hubs are met by partial aggregation and by joins that can be split.
+    """
+    named = lambda df, u, v: df.select(*keys, u.alias("u"), v.alias("v"))
+    edges = checkpointed(named(edges, F.greatest("u", "v"), F.least("u", "v")).where("u <> v").distinct())
+    before = None
+    while True:
+        both = edges.unionByName(named(edges, F.col("v"), F.col("u")))
+        least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = named(both.join(least, [*keys, "u"]).where("v > u"), F.col("v"), F.col("m")).where("u <> v").distinct()
+        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        small = named(large.join(low, [*keys, "u"]), F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")), F.col("m"))
+        edges = checkpointed(small.where("u <> v").distinct())
+        after = edges.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
+        if after == before:
+            break
+        before = after
+    leaf, root = (edges.select(*keys, F.col(c).alias("node"), F.col("v").alias("comp")) for c in "uv")
+    return leaf.unionByName(root.distinct())
+
+
+def components(edges: DataFrame, keys: list[str], largest: int = LARGEST) -> DataFrame:
+    """(keys, node, comp): comp is the smallest node, in code-point order, of the node's component.
+
+    Graphs of at most ``largest`` edges are labelled in one task each, larger ones by star contraction.
+    """
+    plain = checkpointed(edges.select(*keys, "u", "v").where("u is not null and v is not null").distinct())
+    giant = plain.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > largest).drop("n")
+    if giant.isEmpty():
+        return _grouped(plain, keys)
+    giant = checkpointed(giant)
+    big = plain.join(giant, keys, "left_semi")
+    nodes = big.select(*keys, F.col("u").alias("node")).unionByName(big.select(*keys, F.col("v").alias("node"))).distinct()
+    labelled = nodes.join(star_components(big, keys), [*keys, "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
+    return _grouped(plain.join(giant, keys, "left_anti"), keys).unionByName(labelled)
+
+
+def _grouped(plain: DataFrame, keys: list[str]) -> DataFrame:
     fields = [f for f in plain.schema.fields if f.name in keys]
     names = [f.name for f in fields]
 

@@ -40,6 +40,15 @@ def test_reachability_equals_a_search(spark):
     assert got == {p for p in pairs if reached(graphs[p[0]], p[1], p[2])}
 
 
+def test_large_graphs_are_labelled_alike(spark):
+    rng = random.Random(6)
+    rows = [(rec, f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for rec in range(4) for _ in range(10 * (rec + 1))] + [(9, "a", "a"), (9, "b", None)]
+    edges = spark.createDataFrame(rows, "rec long, u string, v string").repartition(3)
+    small = {tuple(r) for r in graph.components(edges, ["rec"]).collect()}
+    assert {tuple(r) for r in graph.components(edges, ["rec"], largest=15).collect()} == small
+    assert {tuple(r) for r in graph.components(edges, ["rec"], largest=0).collect()} == small and (9, "a", "a") in small
+
+
 def plain_split(triples, drawn, checks):
     """The rule as it is told: every candidate searches the whole private graph anew."""
     private, part, vetoed, flag = [], ["public"] * len(triples), set(), 0
