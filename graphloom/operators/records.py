@@ -112,6 +112,43 @@ def casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda x: x.casefold() if isinstance(x, str) else None)
 
 
+@F.pandas_udf(StringType())
+def as_json(values: pd.Series) -> pd.Series:
+    """Mapping texts in Python's notation as JSON; others as they are. Run before parse_document() where both occur."""
+
+    def one(value):
+        found = _literal(value.strip()) if isinstance(value, str) and value.strip()[:1] == "{" else value
+        return json.dumps(found, ensure_ascii=False) if isinstance(found, dict) else value
+
+    return values.map(one)
+
+
+def redact_tree(value: Column, prefix: str) -> Column:
+    """A JSON text in which every string, at any depth, has the path prefix taken out; null if it is no JSON."""
+    bare = prefix.rstrip("/")
+
+    def clean(x):
+        if isinstance(x, dict):
+            return {k: clean(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [clean(v) for v in x]
+        if isinstance(x, str):
+            return "." if x == bare else x.replace(f"{bare}/", "")
+        return x
+
+    @F.pandas_udf(StringType())
+    def run(values: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return json.dumps(clean(json.loads(text)), ensure_ascii=False)
+            except (TypeError, ValueError):
+                return None
+
+        return values.map(one)
+
+    return run(value)
+
+
 def parse_document(value: Column) -> Column:
     """<title, text> from a document string: JSON object, "Title: ... Content: ..." text, or first line and rest."""
     v = F.try_parse_json(value)

@@ -51,3 +51,27 @@ def contiguity(rows: DataFrame, scope: str, step: str) -> DataFrame:
 def repeated_ids(rows: DataFrame, scope: str, key: str) -> DataFrame:
     """Ids that occur more than once in their record."""
     return rows.groupBy(scope, key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def regroup(rows: DataFrame, order: str, value: str, most_groups: int | None = None, most_docs: int | None = None) -> DataFrame:
+    """Numbers runs as groups: rows with group and place (both from 0) inside of both caps.
+
+    Groups are the runs of equal values in row order; a cap on groups keeps the first ones, a cap on
+    documents the first of each group.
+    """
+    marked = global_lag_and_sum(rows, order, value).withColumn("group", F.col("run") - 1).drop("starts", "run")
+    if most_groups is not None:
+        marked = marked.where(F.col("group") < most_groups)
+    placed = marked.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(order)) - 1)
+    return placed if most_docs is None else placed.where(F.col("place") < most_docs)
+
+
+def regroup_counts(rows: DataFrame, order: str, value: str, most_docs: int) -> DataFrame:
+    """Groups, documents inside and outside of the cap, and runs whose value had one before."""
+    runs = run_groups(rows, order, value)
+    return runs.agg(
+        F.count("*").alias("groups"),
+        F.coalesce(F.sum(F.least("size", F.lit(most_docs))), F.lit(0)).alias("documents"),
+        F.coalesce(F.sum(F.greatest(F.col("size") - most_docs, F.lit(0))), F.lit(0)).alias("skipped"),
+        F.count_if("recurrence").alias("repeated_groups"),
+    )

@@ -20,7 +20,7 @@ STEPS = ("rec", "h", "r", "t")
 
 
 #: Ordinals, which windows count as ints; results have them as longs, as SQL does.
-ORDINALS = ("ctx_pos", "t_pos", "pos", "rank")
+ORDINALS = ("ctx_pos", "t_pos", "pos", "rank", "place")
 
 
 def query(f: Query) -> Query:
@@ -164,6 +164,18 @@ def run_stats(spark, d):
     return runs.run_stats(table(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type")
 
 
+@query
+def regroup_runs(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type")
+    out = runs.regroup(e, "event_id", "event_type", 500, 2)
+    return out.select("event_id", "group", "place", records.group_context(F.col("group"), F.col("place")).alias("id"))
+
+
+@query
+def regroup_counts(spark, d):
+    return runs.regroup_counts(table(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type", 2)
+
+
 @query
 def contiguity(spark, d):
     return runs.contiguity(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "n", "contiguous")

@@ -53,6 +53,7 @@ def n1000(k: int) -> str:
 
 LOGP = "least(20 + CAST(floor(event_id / 350) AS BIGINT) * 5, 40)"
 STAMP = "replace(strftime(ts, '%Y-%m-%d %H:%M:%S'), ' ', 'T') || '.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || '+08:00'"
+RUNS = "WITH a AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS s FROM events), b AS (SELECT *, CAST(sum(s) OVER (ORDER BY event_id) - 1 AS BIGINT) AS g FROM a)"
 REF = f"""WITH RECURSIVE {KG}, {DEDUP}, {LOCAL}, {PRED},
 pd AS (SELECT DISTINCT rec, ctx_pos, h, r, t FROM pred),
 rr AS (SELECT d.rec, d.ctx_pos, count(*) FILTER (WHERE l.p) AS n_pub, count(*) FILTER (WHERE NOT l.p) AS n_pri,
@@ -103,6 +104,8 @@ ORACLES: dict[str, str] = {
     "distinct_triples": f"{BASE} SELECT DISTINCT rec, h, r, t FROM kg",
     "run_groups": "WITH a AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS s FROM events), b AS (SELECT *, sum(s) OVER (ORDER BY event_id) AS run FROM a), c AS (SELECT run, first(event_type) AS event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS size FROM b GROUP BY run) SELECT CAST(run AS BIGINT) AS run, event_type, first, last, size, row_number() OVER (PARTITION BY event_type ORDER BY run) > 1 AS recurrence FROM c",
     "run_stats": "WITH a AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS s FROM events), b AS (SELECT *, sum(s) OVER (ORDER BY event_id) AS run FROM a), c AS (SELECT run, first(event_type) AS v, count(*) AS size FROM b GROUP BY run), e AS (SELECT v, count(*) AS k, max(size) AS m FROM c GROUP BY v) SELECT CAST(sum(k) AS BIGINT) AS segments, max(m) AS max_segment, count(*) AS unique_values, count(*) FILTER (WHERE k > 1) AS non_contiguous FROM e",
+    "regroup_runs": f"{RUNS}, c AS (SELECT event_id, g, row_number() OVER (PARTITION BY g ORDER BY event_id) - 1 AS place FROM b WHERE g < 500) SELECT event_id, g AS \"group\", place, 'regrouped-' || lpad(CAST(g AS VARCHAR), 6, '0') || '-doc-' || lpad(CAST(place AS VARCHAR), 2, '0') AS id FROM c WHERE place < 2",
+    "regroup_counts": f"{RUNS}, c AS (SELECT g, first(event_type) AS v, count(*) AS n FROM b GROUP BY g), e AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY g) > 1 AS again FROM c) SELECT count(*) AS groups, CAST(sum(least(n, 2)) AS BIGINT) AS documents, CAST(sum(greatest(n - 2, 0)) AS BIGINT) AS skipped, count(*) FILTER (WHERE again) AS repeated_groups FROM e",
     "contiguity": "SELECT l_orderkey, count(*) AS n, min(l_linenumber) = 1 AND max(l_linenumber) = count(DISTINCT l_linenumber) AND count(*) = count(DISTINCT l_linenumber) AS contiguous FROM lineitem GROUP BY 1",
     "dup_ctx_ids": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "min_by_key": "SELECT o_orderpriority AS key, o_totalprice, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) = 1",

@@ -100,6 +100,19 @@ def test_documents_in_many_forms(spark, text, expected):
     assert tuple(spark.createDataFrame([(text,)], "t string").select(records.parse_document(F.col("t")).alias("d")).first().d) == expected
 
 
+def test_documents_in_python_notation(spark):
+    df = spark.createDataFrame([("{'page_title': 'T', 'text': 'it\\'s'}",), ("{broken",), (None,)], "t string").select(records.as_json("t").alias("t"))
+    got = [r.d for r in df.select(records.parse_document(F.col("t")).alias("d")).collect()]
+    assert tuple(got[0]) == ("T", "it's") and tuple(got[1]) == ("", "{broken") and got[2].text is None
+
+
+def test_trees_are_redacted_at_any_depth(spark):
+    value = {"a": ["/x/y/z", {"b": "/x/y"}, 3, None], "/x/y/k": "no /x/y/q"}
+    df = spark.createDataFrame([(json.dumps(value),), ("{",), (None,)], "t string")
+    got = [r.x for r in df.select(records.redact_tree(F.col("t"), "/x/y/").alias("x")).collect()]
+    assert json.loads(got[0]) == {"a": ["z", {"b": "."}, 3, None], "/x/y/k": "no q"} and got[1:] == [None, None]
+
+
 def test_retrieved_records(spark):
     docs = [("T1", "a"), ("T2", "b"), ("T3", "c")]
     ddl = "index long, id string, question string, answers array<string>, docs array<struct<title:string,text:string>>"
