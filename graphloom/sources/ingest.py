@@ -13,26 +13,47 @@ from ..functions.scalars import NUMBER, TIMESTAMP, log_time
 from ..functions.triples import SPACE
 
 
-def numbered(df: DataFrame, name: str = "rec") -> DataFrame:
-    """Rows numbered from 0 in the order of partitions and of rows inside of them."""
-    spark = df.sparkSession
-    fields = df.schema
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(rows, fields.add(name, "long", False))
+SPLIT = ("_file", "_block")
 
 
-def text_lines(spark: SparkSession, path: str, blanks: str = "skip", name: str = "line") -> DataFrame:
-    """(line, value): lines numbered from 1 over the file. Blank ones are skipped, kept or an error.
+def _shifted(rows: DataFrame, keys: tuple[str, ...], place: Column, name: str) -> DataFrame:
+    """Adds ``name``: the place inside a group, from 0, plus the rows of all groups before it in order of the keys.
 
-    A line number needs the lines before it, so this is the one place that numbers rows by RDD.
+    Only one row per group, with its count, meets the others in a window.
     """
-    lines = numbered(spark.read.text(path), name).withColumn(name, F.col(name) + 1)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    return rows.withColumn("_place", place).join(offsets, list(keys)).withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_place", "_before")
+
+
+def numbered(df: DataFrame, name: str = "rec", order: str | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Rows numbered from 0: by ``order`` inside of the groups ``within``, whose keys' order is the groups'.
+
+    Without an order it is that of partitions and of the rows inside of them; then the rows come
+    straight from a scan, so that each evaluation finds them in the same places.
+    """
+    if order is not None:
+        return _shifted(df, within, F.row_number().over(Window.partitionBy(*within).orderBy(order)) - 1, name)
+    marked = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    return _shifted(marked, ("_part",), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)), name).drop("_id", "_part")
+
+
+def _lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Lines numbered from 1 in order of files and of the blocks inside of them, with their file and block."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return numbered(raw.withColumn("_id", F.monotonically_increasing_id()), name, "_id", SPLIT).withColumn(name, F.col(name) + 1).drop("_id")
+
+
+def text_lines(spark: SparkSession, path: str, blanks: str = "skip", name: str = "line", keep_split: bool = False) -> DataFrame:
+    """(line, value): lines numbered from 1 over the files. Blank ones are skipped, kept or an error."""
+    lines = _lines(spark, path, name)
     blank = F.regexp_like("value", F.lit(rf"\A{SPACE}*\z"))
     if blanks == "skip":
-        return lines.where(~blank)
-    if blanks == "error":
-        return lines.withColumn("value", F.when(blank, F.raise_error(F.concat(F.lit("blank line "), F.col(name).cast("string")))).otherwise(F.col("value")))
-    return lines
+        lines = lines.where(~blank)
+    elif blanks == "error":
+        lines = lines.withColumn("value", F.when(blank, F.raise_error(F.concat(F.lit("blank line "), F.col(name).cast("string")))).otherwise(F.col("value")))
+    return lines.select(name, "value", *(SPLIT if keep_split else ()))
 
 
 def json_lines(spark: SparkSession, path: str, blanks: str = "skip", bad: str = "error", limit: int | None = None, start: int = 0) -> DataFrame:
@@ -41,13 +62,12 @@ def json_lines(spark: SparkSession, path: str, blanks: str = "skip", bad: str =
     ``bad="error"`` fails on what is not an object, with its line; ``bad="null"`` gives it as null.
     ``start`` and ``limit`` cut by rec.
     """
-    lines = text_lines(spark, path, blanks)
-    parsed = lines.withColumn("v", F.try_parse_json("value"))
-    obj = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
+    rows = numbered(text_lines(spark, path, blanks, keep_split=True), "rec", "line", SPLIT).withColumn("v", F.try_parse_json("value"))
     if bad == "error":
-        parsed = parsed.withColumn("line", F.when(~obj, F.raise_error(F.concat(F.lit("no JSON object in line "), F.col("line").cast("string")))).otherwise(F.col("line")))
-    out = numbered(parsed.select("line", "value"), "rec").withColumn("v", F.try_parse_json("value")).select("line", "rec", "v")
-    return out.where(F.col("rec").between(start, start + limit - 1)) if limit is not None else out.where(F.col("rec") >= start)
+        obj = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
+        rows = rows.withColumn("line", F.when(~obj, F.raise_error(F.concat(F.lit("no JSON object in line "), F.col("line").cast("string")))).otherwise(F.col("line")))
+    last = start + limit - 1 if limit is not None else (1 << 62)
+    return rows.where(F.col("rec").between(start, last)).select("line", "rec", "v")
 
 
 def json_array(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:

@@ -32,6 +32,23 @@ def test_json_lines(spark, lines, tmp_path):
     assert (ingest.count_lines(spark, lines), ingest.count_lines(spark, lines, blanks=True)) == (3, 5)
 
 
+def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    texts = {"b.jsonl": 300, "a.jsonl": 50, "c.jsonl": 0}
+    for name, n in texts.items():
+        (tmp_path / "d" / name).write_text("".join(f'{{"f": "{name[0]}", "k": {k}}}\n' + ("\n" if k % 7 == 0 else "") for k in range(n)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = ingest.json_lines(spark, str(tmp_path / "d")).selectExpr("rec", "line", "v:f::string f", "v:k::long k").orderBy("rec").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(r.f, r.k) for r in got] == [("a", k) for k in range(50)] + [("b", k) for k in range(300)]
+    assert [r.rec for r in got] == list(range(350)) and got[1].line == 3
+
+
 def test_parquet_in_path_order(spark, tmp_path):
     for name, ids in (("b", [3, 4]), ("a", [1, 2])):
         spark.createDataFrame([(i, "x") for i in ids], "i long, z string").coalesce(1).write.parquet(str(tmp_path / name))
