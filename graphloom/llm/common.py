@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import checkpointed, shared_folder
 
-__all__ = ["BLANK", "checkpointed", "fresh", "join_skewed", "shared_folder", "small_batches", "table", "text_or_empty"]
+__all__ = ["BLANK", "checkpointed", "fresh", "give_back", "join_skewed", "shared_folder", "small_batches", "table", "text_or_empty"]
 #: ASCII white space as a Java character class.
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -46,3 +50,17 @@ def small_batches(df: DataFrame, rows: int = 1000) -> None:
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= rows:
         conf.set(key, str(rows))
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Returns a worker's unused memory to the system: workers outlive their tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)

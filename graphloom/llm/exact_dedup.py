@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, checkpointed, fresh, join_skewed, shared_folder, text_or_empty
+from .common import BLANK, checkpointed, fresh, give_back, join_skewed, shared_folder, text_or_empty
 
 BITS_PER_ROW = 16
 MAX_FILTER_BYTES = 32 << 20
@@ -69,6 +69,7 @@ def _repeated_cells(hashes: DataFrame, slices: int, size: int) -> DataFrame:
             total[at] = np.minimum(total[at] + 1, 2)
             total[np.frombuffer(twice.as_py(), "<u4")] = 2
         bitmap = np.packbits(total > 1).tobytes()
+        give_back()
         return pa.table({"part": [key[0].as_py()], "bitmap": pa.array([bitmap], pa.binary())})
 
     filled = hashes.mapInArrow(fill, "part long, once binary, twice binary")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 from .token_bpe import PLAIN, byte_letters
 
 LENGTH = 1024
@@ -56,7 +56,7 @@ class Ids:
         return np.array(ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def ids_of(path: str) -> Ids:
     return Ids(path)
 
@@ -152,6 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str =
                     ],
                     names=["id", "g", "n", "full", "rest"],
                 )
+        give_back()
 
     def fit(key: tuple, rows: pa.Table) -> pa.Table:
         base, out = key[0].as_py() << 32, [[] for _ in range(7 + keep_ids)]
@@ -178,6 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str =
                 put(k, totals[k] // length * length + start, data, zlib.crc32(data), size, offset)
                 offset += size
             sequence += 1
+        give_back()
         names = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * keep_ids
         return pa.table({n: pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, out, strict=True)})
 

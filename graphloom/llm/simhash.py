@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import star_components
-from .common import checkpointed, fresh, join_skewed, small_batches
+from .common import checkpointed, fresh, give_back, join_skewed, small_batches
 
 SHINGLE = 3
 RADIUS = 2
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, text_col: str, carry: dict[str, Column], words
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or "", words) for t in batch.column(0)], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names=names)
+        give_back()
 
     rows = docs.select(F.col(text_col).alias("t"), *(c.alias(k) for k, c in carry.items()))
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "fp long"]))

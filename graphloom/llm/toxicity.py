@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches
+from .common import fresh, give_back, small_batches
 
 #: At most so many labelled texts of each class are learned from, and so many characters of them.
 SAMPLE, SAMPLE_CHARS = 2500, 8_000_000
@@ -41,7 +41,7 @@ LEAST_CONTEXTS, RATIO = 6, 12.0
 #: A window that a text repeats counts so many times at most.
 REPEATS = 3
 TOP = 12
-CACHE = 400_000
+CACHE = 250_000
 WIDE = np.random.default_rng(7).integers(0, 256, (256, 4), dtype=np.uint8)
 PARAMETERS = {"window_log": 19, "chain_log": 18, "hash_log": 17, "search_log": 8, "min_match": 4, "target_length": 128, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
@@ -109,7 +109,7 @@ def _distances_of(found: list[bytes], ask: Callable[[bytes], int]) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _distances(toxic: bytes, ordinary: bytes) -> Distances:
     return Distances(toxic, ordinary)
 
@@ -253,7 +253,9 @@ def score_column(detector: Detector, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([detector.score(t.as_py() or "") for t in texts], pa.float64())
+        found = pa.array([detector.score(t.as_py() or "") for t in texts], pa.float64())
+        give_back()
+        return found
 
     return score(text)
 
