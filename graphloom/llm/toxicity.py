@@ -41,7 +41,7 @@ LEAST_CONTEXTS, RATIO = 6, 12.0
 #: A window that a text repeats counts so many times at most.
 REPEATS = 3
 TOP = 12
-CACHE = 250_000
+CACHE = 500_000
 WIDE = np.random.default_rng(7).integers(0, 256, (256, 4), dtype=np.uint8)
 PARAMETERS = {"window_log": 19, "chain_log": 18, "hash_log": 17, "search_log": 8, "min_match": 4, "target_length": 128, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
