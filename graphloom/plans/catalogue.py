@@ -276,7 +276,7 @@ def edge_anti_join(spark, d):
 
 @query
 def qa_pairs(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("rec"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")).otherwise("").alias("entity")).where("c_custkey % 20 = 0")
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("rec"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")).otherwise("").alias("entity"))
     n = table(spark, d, "supplier").select(F.col("s_nationkey").alias("rec"), F.col("s_name").alias("answer"))
     return joins.qa_pairs(c, n)
 
