@@ -125,10 +125,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
 
     A query is a row for which ``is_query`` holds; its candidates are all other ids of its dimension.
     Rows with a null id, or a vector that is null, empty, zero or not finite, take no part. Scores are
-    in double precision on the vectors as given. Rows that repeat an id are each a candidate and a query's
-    answer names an id once. No usable rows, no result.
+    in double precision on the vectors as given. An id with several vectors is a candidate with each, and a
+    query with each; an answer names an id once, with its best score, and never the query's own. No usable rows, no result.
     """
-    rows = checkpointed(vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.size(vec_col).cast("long").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("ask")))
+    usable_rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.size(vec_col).cast("long").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("ask"))
+    rows = checkpointed(usable_rows.groupBy("id", "v", "dim").agg(F.max("ask").alias("ask")))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     count, top = rows.agg(F.count("*"), F.max(square)).first()
     if not count:
@@ -147,6 +148,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
     left = index.select("dim", F.col("part").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "data")
     right = asks.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col("part").alias("block"), "data")
 
+    def near(tree: Tree, ids: np.ndarray, members: np.ndarray, starts: np.ndarray, queries: np.ndarray, asked: np.ndarray, ask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score): of each query's best ``ask`` points the k best other ids, each once."""
+        q, p = search(tree, queries, norm, ask, factor)
+        # Copies of a point: its smallest ids, one more than k for the query's own.
+        copies = np.minimum(starts[p + 1] - starts[p], k + 1)
+        q, p, nth = np.repeat(q, copies), np.repeat(p, copies), np.concatenate([np.arange(c) for c in copies]) if len(copies) else np.zeros(0, int)
+        who = ids[members[starts[p] + nth]]
+        other = who != asked[q]
+        q, p, who = q[other], p[other], who[other]
+        score = np.concatenate([np.zeros(0), *((tree.points[p[i : i + 65536]] * queries[q[i : i + 65536]]).sum(axis=1) for i in range(0, len(q), 65536))])
+        order = np.lexsort((-score, who, q))
+        q, who, score = q[order], who[order], score[order]
+        fresh = np.ones(len(q), bool)
+        fresh[1:] = (q[1:] != q[:-1]) | (who[1:] != who[:-1])
+        q, who, score = q[fresh], who[fresh], score[fresh]
+        order = np.lexsort((who, -score, q))
+        q, who, score = q[order], who[order], score[order]
+        take = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+        return q[take], who[take], score[take]
+
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         for x in a.column("data"):
@@ -162,24 +183,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
             for y in b.column("data"):
                 asked, vectors = _unpack(y.as_py())
                 queries = vectors.astype(np.float64)
-                q, p = search(tree, queries, norm, min(k + 1, len(points)), factor)
-                # Copies of a point: its smallest ids, one more than k for the query's own.
-                copies = np.minimum(starts[p + 1] - starts[p], k + 1)
-                q, p, nth = np.repeat(q, copies), np.repeat(p, copies), np.concatenate([np.arange(c) for c in copies]) if len(copies) else np.zeros(0, int)
-                who = ids[members[starts[p] + nth]]
-                other = who != asked[q]
-                q, p, who = q[other], p[other], who[other]
-                score = np.concatenate([np.zeros(0), *((points[p[i : i + 65536]] * queries[q[i : i + 65536]]).sum(axis=1) for i in range(0, len(q), 65536))])
-                order = np.lexsort((who, -score, q))
-                q, who, score = q[order], who[order], score[order]
-                first = np.searchsorted(q, q, side="left")
-                take = np.arange(len(q)) - first < k
-                for column, values in zip(out, (asked[q[take]], who[take], score[take]), strict=True):
-                    column.append(values)
+                todo, ask = np.arange(len(queries)), min(k + 1, len(points))
+                while len(todo):
+                    q, who, score = near(tree, ids, members, starts, queries[todo], asked[todo], ask)
+                    # An id with several vectors takes several of the points; with less than k ids a query asks for more points.
+                    done = np.bincount(q, minlength=len(todo)) >= k if ask < len(points) else np.ones(len(todo), bool)
+                    take = done[q]
+                    for column, values in zip(out, (asked[todo][q[take]], who[take], score[take]), strict=True):
+                        column.append(values)
+                    todo, ask = todo[~done], min(2 * ask, len(points))
         query, vec, score = (np.concatenate(c) if c else np.zeros(0) for c in out)
         return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 
     keys = ("dim", "shard", "block")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
