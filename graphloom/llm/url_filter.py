@@ -43,9 +43,9 @@ def _prefixes(path: Column) -> Column:
 
 
 def _suffixes(host: Column) -> Column:
-    """The host and its parent domains. A name has 127 labels at most; what is longer is no host name."""
+    """The host and all its parent domains."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(127))), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
 
 
 def _month(at: Column) -> Column:
