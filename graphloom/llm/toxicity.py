@@ -1,25 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is read window
-by window (a word with its blanks); a window's distance is how many bytes shorter it gets with the
-toxic dictionary than with the ordinary one. Compressed lengths of a few bytes say little, so every
-byte of a window is first written as four fixed random bytes: then a length counts the phrases that
-the dictionary leaves of the window, about three bytes each.
-
-Both dictionaries end in the same base, trained on ordinary text, so ordinary words get the same
-length from both. Before it each holds windows typical of its class: those that occur in many
-different contexts there and seldom in the other class (a passage that is copied from text to text
-is one context). Windows of the toxic part that ordinary text finds short too are taken out again.
-
-A text's score is a logistic function of its windows' distances, calibrated on labelled texts that
-no dictionary has seen; 0.5 is its threshold.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is read in
+overlapping windows of a few words; a window's distance is how many bytes shorter it gets with the
+toxic dictionary than with the ordinary one. Windows of different lengths and languages compare,
+since both dictionaries end in the same base, trained on ordinary text too.
+
+Compressed lengths of a few words say little, so every byte is written as ``CODE`` fixed
+random bytes, in dictionaries and windows alike: then a length counts the phrases that a dictionary
+leaves of a window.
+
+Most windows of a toxic text are ordinary. So the toxic dictionary is trained in rounds, crosswise
+on two halves of the toxic texts: each half's windows are measured with what the other half taught,
+and those that lie beyond nearly all ordinary windows are what the next round trains on. Then come
+parts for the texts in which the dictionary so far finds too little.
+
+A text's score is a logistic function of how many of its windows lie beyond each of several
+thresholds of the distance, calibrated on labelled texts that no dictionary has seen; 0.5 is its threshold.
 """
 
 from __future__ import annotations
 
 import math
+import random
+import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,27 +38,61 @@ from .common import fresh, give_back, small_batches
 
 #: At most so many labelled texts of each class are learned from, and so many characters of them.
 SAMPLE, SAMPLE_CHARS = 2500, 8_000_000
-#: Sizes of the common base to choose from by the loss on texts not learned from, and of each class's part, in symbols.
-BASES, PART = (1024, 2048, 4096), 24576
-#: Bytes of ordinary text that the base is trained on.
-BASE_SAMPLE = 1_000_000
-LEAST_CONTEXTS, RATIO = 6, 12.0
-#: A window that a text repeats counts so many times at most.
-REPEATS = 3
-TOP = 12
-CACHE = 500_000
-WIDE = np.random.default_rng(7).integers(0, 256, (256, 4), dtype=np.uint8)
-PARAMETERS = {"window_log": 19, "chain_log": 18, "hash_log": 17, "search_log": 8, "min_match": 4, "target_length": 128, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-
-
-def windows(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()
+#: Least bytes of a window, and about how far on the next one starts.
+WINDOW, STEP = 16, 8
+#: Bytes of the common base, and of each part of the toxic dictionary.
+BASE, PART = 65536, 1024
+#: Parts of the toxic dictionary at most, and rounds of training for each.
+PARTS, ROUNDS = 8, 3
+#: Bytes of the segments that the trainer picks, for the base and for the parts.
+BASE_SEGMENT, SEGMENT = 64, 24
+CODE = 3
+#: A selected window lies beyond this share of the ordinary ones, and a text with two windows beyond the other share needs no further part.
+SELECT, ENOUGH = 99.0, 99.9
+#: Ordinary windows that thresholds of the training come from.
+MEASURED = 10_000
+#: Distances beyond count as this.
+TOP = 20
+#: Thresholds of the distance, in bytes, over which windows are counted.
+THRESHOLDS = (3, 6, 9)
+#: Windows at a time: repeats are told inside of so many.
+BLOCK = 1 << 16
+WIDE = np.random.default_rng(7).integers(0, 256, (256, CODE), dtype=np.uint8)
+PARAMETERS = {"window_log": 20, "chain_log": 19, "hash_log": 17, "search_log": 8, "min_match": 3, "target_length": 128, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+NO_WORD = re.compile(r"[\W_]+")
+
+
+def plain(text: str) -> bytes:
+    """Lower-case words with single blanks."""
+    return f" {NO_WORD.sub(' ', text.lower()).strip()} ".encode("utf-8", "surrogatepass")
+
+
+def windows(raw: bytes) -> Iterator[bytes]:
+    """Runs of whole words of a plain text; a very long word is cut. Every text has at least one window."""
+    at, last = 0, len(raw) - 1
+    while True:
+        end = raw.find(b" ", at + WINDOW, at + 2 * WINDOW + 1)
+        if end < 0:
+            end = min(last, at + 2 * WINDOW)
+        yield raw[at : end + 1]
+        if end >= last:
+            return
+        following = raw.find(b" ", at + STEP, at + 2 * STEP + 1)
+        at = following if following > 0 else at + STEP
 
 
 def wide(raw: bytes) -> bytes:
     return WIDE[np.frombuffer(raw, np.uint8)].tobytes()
 
 
+def compressor(content: bytes):
+    """Compresses coded windows with a dictionary, given uncoded."""
+    parameters = zstandard.ZstdCompressionParameters(**PARAMETERS)
+    known = zstandard.ZstdCompressionDict(wide(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(compression_params=parameters)
+    return zstandard.ZstdCompressor(compression_params=parameters, dict_data=known).compress
+
+
 @dataclass
 class Detector:
     """What travels to the tasks: two dictionaries' contents and the calibration."""
@@ -63,93 +102,68 @@ class Detector:
     table: list[float]
     weights: list[float]
 
-    def distances(self) -> Distances:
-        return _distances(self.toxic, self.ordinary)
-
-    def features(self, text: str) -> list[float]:
-        return _features(self.distances().of(text), self.table)
-
     def score(self, text: str) -> float:
-        z = sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
+        z = float(np.dot(self.weights, _features(histogram(text, *_pair(self.ordinary, self.toxic)), self.table)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-class Distances:
-    """Distances of windows, with a bounded memory."""
+@lru_cache(maxsize=1)
+def _pair(ordinary: bytes, toxic: bytes) -> tuple:
+    return compressor(ordinary), compressor(toxic)
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        parameters = zstandard.ZstdCompressionParameters(**PARAMETERS)
-        self.short, self.long = (self._compressor(x, parameters) for x in (toxic, ordinary))
-        self.seen: dict[bytes, int] = {}
 
-    @staticmethod
-    def _compressor(content: bytes, parameters: zstandard.ZstdCompressionParameters):
-        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        known.precompute_compress(compression_params=parameters)
-        return zstandard.ZstdCompressor(compression_params=parameters, dict_data=known).compress
+def distances(found: list[bytes], long, short) -> np.ndarray:
+    """How many bytes shorter each window is with ``short`` than with ``long``."""
+    return np.array([len(long(w)) - len(short(w)) for w in map(wide, found)], np.int64)
 
-    def one(self, window: bytes) -> int:
-        d = self.seen.get(window)
-        if d is None:
-            w = wide(b" " + window + b" ")
-            d = len(self.long(w)) - len(self.short(w))
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[window] = d
-        return d
 
-    def of(self, text: str) -> list[int]:
-        return _distances_of(windows(text), self.one)
+def histogram(text: str, long, short) -> np.ndarray:
+    """How many windows have each distance from -TOP to TOP; the n-fold repeat of a window weighs 1 + log n."""
+    total, block, room = np.zeros(2 * TOP + 1), Counter(), BLOCK
 
+    def add() -> None:
+        found = np.clip(distances(list(block), long, short), -TOP, TOP) + TOP
+        total[:] += np.bincount(found, 1 + np.log(np.fromiter(block.values(), float, len(block))), 2 * TOP + 1)
 
-def _distances_of(found: list[bytes], ask: Callable[[bytes], int]) -> list[int]:
-    out: list[int] = []
-    for w, n in Counter(found).items():
-        out += [ask(w)] * min(n, REPEATS)
-    return out
+    for w in windows(plain(text)):
+        block[w] += 1
+        room -= 1
+        if not room:
+            add()
+            block, room = Counter(), BLOCK
+    if block:
+        add()
+    return total
 
 
-@lru_cache(maxsize=1)
-def _distances(toxic: bytes, ordinary: bytes) -> Distances:
-    return Distances(toxic, ordinary)
-
-
-def _features(ds: list[int], table: list[float]) -> list[float]:
-    """Constant, evidence of all windows, best two, and how long the text is."""
-    a = np.clip(np.array(ds or [0]), -TOP, TOP)
-    counts = np.bincount(a + TOP, minlength=2 * TOP + 1)
-    best = np.sort(a)[::-1][:2]
-    n = math.log1p(len(ds))
-    gain = float(counts @ np.array(table))
-    return [1.0, gain, math.log1p(max(0.0, gain)), best[0] / TOP, (best[1] if len(best) > 1 else 0) / TOP, n, math.log1p(counts[TOP + 3 :].sum()), math.log1p(counts[TOP + 6 :].sum())]
-
-
-def _contexts(texts: list[list[bytes]]) -> Counter:
-    """In how many different contexts each window occurs."""
-    seen, counts = set(), Counter()
-    for ws in texts:
-        for context in zip([b"", *ws[:-1]], ws, [*ws[1:], b""], strict=True):
-            if (h := hash(context)) not in seen:
-                seen.add(h)
-                counts[context[1]] += 1
-    return Counter({b" " + w + b" ": n for w, n in counts.items()})
-
-
-def _typical(own: Counter, other: Counter) -> list[bytes]:
-    a, b = sum(own.values()) + 1, sum(other.values()) + 1
-    return [w for w, n in own.most_common() if n >= LEAST_CONTEXTS and n * b > RATIO * (other[w] + 1) * a / (1 if other[w] else 2)]
-
-
-def _join(parts: list[bytes], limit: int) -> bytes:
-    """The first windows that fit, the first of all at the end, where offsets are short."""
-    out, size = [], 0
-    for w in parts:
-        x = wide(w)
-        if size + len(x) > 4 * limit:
-            break
-        out.append(x)
-        size += len(x)
-    return b"".join(reversed(out))
+def _features(counts: np.ndarray, table: list[float]) -> list[float]:
+    """Constant, evidence of all windows and of the toxic ones, the largest distance, the text's length, windows over each threshold.
+
+    All sums as logarithms: with them a text is held against its length, however long it is.
+    """
+    gain, positive = float(counts @ table), float(counts[TOP + 1 :] @ np.array(table[TOP + 1 :]))
+    largest = int(np.flatnonzero(counts)[-1]) - TOP
+    return [1.0, math.log1p(max(0.0, gain)), math.log1p(max(0.0, -gain)), math.log1p(positive), largest / TOP, math.log1p(counts.sum()), *(math.log1p(counts[TOP + t :].sum()) for t in THRESHOLDS)]
+
+
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of the dictionary that the zstandard trainer makes of the samples."""
+    try:
+        return zstandard.train_dictionary(size, samples, d=8, k=segment).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too few or too short samples for the trainer
+        return b"".join(samples)[-size:]
+
+
+def _toxic_part(texts: list[list[bytes]], known: bytes, long, ordinary: list[bytes]) -> bytes:
+    """One part more before the ``known`` content, from the windows of toxic texts that lie beyond nearly all ordinary ones."""
+    halves = [list(dict.fromkeys(w for ws in texts[i::2] for w in ws)) for i in (0, 1)]
+    picked = halves
+    for _ in range(ROUNDS):
+        shorts = [compressor(_trained(p, PART, SEGMENT) + known) for p in picked]
+        least = max(1.0, float(np.percentile(distances(ordinary, long, shorts[0]), SELECT)))
+        beyond = [[w for w, d in zip(half, distances(half, long, short), strict=True) if d > least] for half, short in zip(halves, reversed(shorts), strict=True)]
+        picked = [b or half for b, half in zip(beyond, halves, strict=True)]
+    return _trained([*picked[0], *picked[1]], PART, SEGMENT)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -166,58 +180,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> Detector:
     """Learns from labelled texts; two thirds make the dictionaries, the rest calibrates.
 
-    ``prior`` is the share of toxic texts to calibrate for (that of the texts given, if None). Without texts of both classes every score
-    is that share (one half where there are none).
+    ``prior`` is the share of toxic texts to calibrate for (that of the texts given, if None). With
+    fewer than 6 texts of a class every score is that share (one half where there are no texts).
     """
     share = prior if prior is not None else len(toxic) / max(1, len(toxic) + len(ordinary)) if toxic or ordinary else 0.5
+    share = min(1 - 1e-3, max(1e-3, share))
+    odds = math.log(share / (1 - share))
     if min(len(toxic), len(ordinary)) < 6:
-        odds = math.log(max(share, 1e-3) / max(1 - share, 1e-3))
-        return Detector(bytes(8), bytes(8), [0.0] * (2 * TOP + 1), [odds, *[0.0] * 7])
-    bad, good = [windows(t) for t in toxic], [windows(t) for t in ordinary]
-    learn = [[x for i, x in enumerate(c) if i % 3] for c in (bad, good)]
-    rest = [[x for i, x in enumerate(c) if i % 3 == 0] for c in (bad, good)]
-    count = [_contexts(c) for c in learn]
-    marks, plain = _typical(count[0], count[1]), _typical(count[1], count[0])
-    del count
-    samples, room = [], BASE_SAMPLE
-    for ws in learn[1]:
-        text = b" " + b" ".join(ws) + b" "
-        room -= len(text)
-        if room < 0 and samples:
+        return Detector(bytes(8), bytes(8), [0.0] * (2 * TOP + 1), [odds, *[0.0] * (5 + len(THRESHOLDS))])
+    bad = [list(windows(plain(t))) for i, t in enumerate(toxic) if i % 3]
+    good = [plain(t) for i, t in enumerate(ordinary) if i % 3]
+    base = _trained(good[::2], BASE, BASE_SEGMENT)
+    rest = list(dict.fromkeys(w for t in good[1::2] for w in windows(t)))
+    random.Random(2).shuffle(rest)
+    cut = max(1, min(MEASURED, len(rest) // 2))
+    measured = rest[:cut]
+    own = _trained(rest[cut:], PARTS * PART, SEGMENT) + base
+    long, known, left = compressor(own), base, bad
+    for _ in range(PARTS):
+        known = _toxic_part(left, known, long, measured) + known
+        short = compressor(known)
+        beyond = np.percentile(distances(measured, long, short), ENOUGH)
+        left = [ws for ws in left if (distances(list(dict.fromkeys(ws)), long, short) > beyond).sum() < 2]
+        if len(left) < 6:
             break
-        samples.append(wide(text))
-    best: tuple[float, Detector] | None = None
-    for size in BASES:
-        try:
-            base = zstandard.train_dictionary(4 * size, samples, d=8, k=64, steps=4, f=20).as_bytes()[-4 * size :]
-        except zstandard.ZstdError:  # too few or too short samples for the trainer
-            base = b"".join(samples)[-4 * size :]
-        loss, detector = _calibrated(marks, plain, base, rest, share)
-        if best is None or loss < best[0]:
-            best = loss, detector
-    return best[1]
-
-
-def _calibrated(marks: list[bytes], plain: list[bytes], base: bytes, rest: list[list[list[bytes]]], share: float) -> tuple[float, Detector]:
-    """The detector over one base, and its logistic loss on texts that no dictionary has seen."""
-    for _ in range(2):
-        detector = Detector(_join(marks, PART) + base, _join(plain, PART) + base, [], [])
-        ask = Distances(detector.toxic, detector.ordinary).one
-        # What is no shorter with the toxic part is of no use in it.
-        marks = [w for w in marks if ask(w.strip()) > 0]
-    found = [[_distances_of(ws, ask) for ws in c] for c in rest]
-    spread = [np.bincount(np.clip(np.array([d for ds in c for d in ds] or [0]), -TOP, TOP) + TOP, minlength=2 * TOP + 1) + 0.5 for c in found]
+    # Calibration on the texts that no dictionary has seen.
+    counts = [np.array([histogram(t, long, short) for i, t in enumerate(c) if i % 3 == 0]) for c in (toxic, ordinary)]
+    spread = [c.sum(axis=0) + 0.5 for c in counts]
     table = np.log(spread[0] / spread[0].sum()) - np.log(spread[1] / spread[1].sum())
-    table[: TOP + 1] = np.minimum(table[: TOP + 1], 0)
-    table = np.concatenate([table[: TOP + 1], np.maximum.accumulate(np.maximum(table[TOP + 1 :], 0))])
-    x = np.array([_features(ds, table.tolist()) for c in found for ds in c])
-    y = np.repeat([1.0, 0.0], [len(found[0]), len(found[1])])
-    weights = _logistic(x, y)
-    p = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), 1e-9, 1 - 1e-9)
-    loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-    given = len(found[0]) / (len(found[0]) + len(found[1]))
-    weights[0] += math.log(share / (1 - share)) - math.log(given / (1 - given))
-    return loss, Detector(detector.toxic, detector.ordinary, table.tolist(), weights.tolist())
+    # A larger distance is never less evidence, and only a positive one is evidence for toxicity.
+    table = np.r_[np.minimum(table[: TOP + 1], 0), np.maximum.accumulate(np.maximum(table[TOP + 1 :], 0))]
+    x = np.array([_features(h, table.tolist()) for c in counts for h in c])
+    weights = _logistic(x, np.repeat([1.0, 0.0], [len(c) for c in counts]))
+    weights[0] += odds - math.log(len(counts[0]) / len(counts[1]))
+    return Detector(known, own, table.tolist(), weights.tolist())
 
 
 def learned_rows(id_col: str = "doc_id") -> Column:
