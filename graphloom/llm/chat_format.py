@@ -11,7 +11,7 @@ string survives inside a text; unescaping takes one away.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, NL = "<|im_start|>", "<|im_end|>", "\n"
@@ -64,78 +64,55 @@ def text_part(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, train_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """conv_id, n_turns, formatted, spans, attachments, expanded_tokens from (conv_id, turn, role, parts).
-
-    spans: array of (start, length) in code points, one for each turn whose role is trained on, the
-    turn's text without frame. Turns stand in order of ``turn``, ties by role and text, nulls first.
-    A null conv_id is a conversation of its own, a null role is empty, null parts are none. The turns
-    of a conversation meet in one row, since its text is one value of the result.
+    """conv_id, n_turns, formatted, trained, spans, attachments, expanded_tokens from (conv_id, turn, role, parts).
+
+    trained: for each turn whether its role is trained on. spans: array of (start, length) in code
+    points, one for each of those turns, the turn's text without frame. Turns stand in order of
+    ``turn``, ties by role and text, nulls first. A null conv_id is a conversation of its own, a null
+    role is empty, null parts are none. The turns of a conversation meet in one row, since its text is
+    one value of the result; their places are a running sum over its rows, so the work grows with the
+    number of turns and no faster (but for sorting them).
     """
     seen = F.transform(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")), visit)
     turn = turns.select(
         "conv_id",
-        F.struct(
-            F.col("turn").alias("turn"),
-            F.coalesce(F.col("role"), F.lit("")).alias("role"),
-            F.array_join(F.transform(seen, lambda x: x["text"]), "").alias("text"),
-            F.array_compact(F.transform(seen, lambda x: x["ref"])).alias("refs"),
-            F.aggregate(seen, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens"),
-        ).alias("t"),
-    )
-    talk = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-
-    def frame(t: Column) -> Column:
-        return F.concat(F.lit(START), escape_role(t["role"]), F.lit(NL))
-
-    pieces = F.transform("ts", lambda t: F.struct(F.concat(frame(t), t["text"], F.lit(END + NL)).alias("text"), F.char_length(frame(t)).cast("long").alias("head"), F.char_length(t["text"]).cast("long").alias("body"), t["role"].isin(*train_roles).alias("train")))
-    made = talk.withColumn("ps", pieces)
-    step = len(END + NL)
-    start = F.aggregate(
-        "ps",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["head"] + p["body"] + F.lit(step)).alias("at"),
-            F.when(p["train"], F.concat(a["spans"], F.array(F.struct((a["at"] + p["head"]).alias("start"), p["body"].alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
+        "turn",
+        F.coalesce(F.col("role"), F.lit("")).alias("role"),
+        F.array_join(F.transform(seen, lambda x: x["text"]), "").alias("text"),
+        F.array_compact(F.transform(seen, lambda x: x["ref"])).alias("refs"),
+        F.aggregate(seen, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens"),
     )
-    return made.select(
+    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit(NL))
+    framed = turn.select("*", F.char_length(head).cast("long").alias("head"), F.char_length("text").cast("long").alias("body"), F.concat(head, "text", F.lit(END + NL)).alias("piece"), F.col("role").isin(*train_roles).alias("train"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "refs", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    placed = framed.withColumn("at", F.coalesce(F.sum(F.char_length("piece").cast("long")).over(before), F.lit(0).cast("long")))
+    item = F.struct("at", "head", "body", "piece", "train", "refs")
+    talk = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("ts"), F.sum("tokens").alias("expanded_tokens"))
+    return talk.select(
         "conv_id",
         F.size("ts").cast("long").alias("n_turns"),
-        F.array_join(F.transform("ps", lambda p: p["text"]), "").alias("formatted"),
-        start["spans"].alias("spans"),
+        F.array_join(F.transform("ts", lambda t: t["piece"]), "").alias("formatted"),
+        F.transform("ts", lambda t: t["train"]).alias("trained"),
+        F.transform(F.filter("ts", lambda t: t["train"]), lambda t: F.struct((t["at"] + t["head"]).alias("start"), t["body"].alias("length"))).alias("spans"),
         F.flatten(F.transform("ts", lambda t: t["refs"])).alias("attachments"),
-        F.aggregate("ts", F.lit(0).cast("long"), lambda a, t: a + t["tokens"]).alias("expanded_tokens"),
+        "expanded_tokens",
     )
 
 
 def read_back(formatted: Column) -> Column:
-    """The turns that a formatted conversation holds: role and text unescaped, and the text's place.
-
-    One split and one running sum: linear in the conversation, however many turns it has.
-    """
+    """The turns that a formatted conversation holds: role and text, unescaped. One split, one pass over its pieces."""
     raw = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 1 << 30)
     role = lambda x: F.substring_index(x, NL, 1)
-    parsed = F.transform(
+    return F.transform(
         raw,
         lambda x: F.struct(
             unescape_role(role(x)).alias("role"),
-            F.regexp_replace(F.substring(x, F.char_length(role(x)) + 2, F.char_length(x)), r"<\|im_end\|>\n\z", "").alias("body"),
-            F.char_length(role(x)).cast("long").alias("head"),
-            F.char_length(x).cast("long").alias("whole"),
-        ),
-    )
-    ends = F.aggregate(parsed, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["whole"] + len(START))))
-    return F.transform(
-        F.arrays_zip(parsed.alias("p"), F.slice(ends, 1, F.size(parsed)).alias("at")),
-        lambda z: F.struct(
-            z["p"]["role"].alias("role"),
-            unescape(z["p"]["body"]).alias("text"),
-            (z["at"] + len(START) + z["p"]["head"] + 1).alias("start"),
-            F.char_length(z["p"]["body"]).cast("long").alias("length"),
+            unescape(F.regexp_replace(F.substring(x, F.char_length(role(x)) + 2, F.char_length(x)), r"<\|im_end\|>\n\z", "")).alias("text"),
         ),
     )
 
 
-def masked(turns: Column, spans: Column) -> Column:
-    """Of turns read back, the texts that the mask covers, joined."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: F.array_contains(spans, F.struct(t["start"].alias("start"), t["length"].alias("length")))), lambda t: t["text"]), "")
+def masked(turns: Column, trained: Column) -> Column:
+    """Of turns read back, the texts of those trained on, joined."""
+    both = F.arrays_zip(turns.alias("t"), trained.alias("on"))
+    return F.array_join(F.transform(F.filter(both, lambda z: z["on"]), lambda z: z["t"]["text"]), "")

@@ -105,8 +105,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     both = turns.unionByName(extra).select("conv_id", "turn", "role", chat_format.text_part(F.coalesce("text", F.lit(""))).alias("parts"))
     made = chat_format.format_chats(both)
-    back = made.select("conv_id", "formatted", "spans", chat_format.read_back(F.col("formatted")).alias("ts"))
-    loss = back.select("conv_id", "ts", "formatted", chat_format.masked(F.col("ts"), F.col("spans")).alias("loss"))
+    back = made.select("conv_id", "formatted", "trained", chat_format.read_back(F.col("formatted")).alias("ts"))
+    loss = back.select("conv_id", "ts", "formatted", chat_format.masked(F.col("ts"), F.col("trained")).alias("loss"))
     whole = F.array_join(F.transform("ts", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return loss.select("conv_id", F.size("ts").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
