@@ -1,13 +1,15 @@
 """URL filters as a temporal list join, in DataFrame functions only.
 
 A list is a history: dated entries add a rule to it or take one away. Entries become validity
-intervals ``[valid_from, valid_to)``; an as-of join evaluates every capture against the rules that
-were active when it was fetched.
+intervals ``[valid_from, valid_to)``, open where nothing follows; an as-of join evaluates every
+capture against the rules that were active when it was fetched.
 
 Rules and captures meet on (key, month). A domain rule's key is its host; a prefix rule's key is its
 host and its first ``KEY_DEPTH`` path segments, and an exact test follows for what lies deeper. So a
 host with a third of all captures spreads over the months, the rules of a key are few in any of
-them, and adaptive skew joins can split what is left: no grouping sits on the captures' side.
+them, and adaptive skew joins can split what is left: no grouping sits on the captures' side. A rule
+stands in the months that have captures and in no others, however long it holds, and a host asks for
+as many of its parent domains as the longest domain of the list has labels.
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 KEY_DEPTH = 12
-#: A rule that was never taken away holds up to here; later captures are outside of every interval.
-OPEN_END = "2100-01-01 00:00:00"
 
 
 def host_of(url: Column) -> Column:
@@ -42,10 +44,11 @@ def _prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and all its parent domains."""
+def _suffixes(host: Column, most: int) -> Column:
+    """The host and its parent domains, those of at most so many labels."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+    first = F.greatest(F.lit(1), F.size(labels) - (most - 1))
+    return F.transform(F.sequence(first, F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
 
 
 def _month(at: Column) -> Column:
@@ -56,8 +59,8 @@ def intervals(entries: DataFrame) -> DataFrame:
     """(list, kind, host, path, category, valid_from, valid_to) from dated entries.
 
     entries: list, kind ("domain" or "prefix"), pattern (host, or host/path), action ("add" or
-    "remove"), category, effective_at. A rule holds from an "add" to the rule's next entry. Of
-    entries at one moment "remove" wins, then the largest category. Entries without a host or a time are not
+    "remove"), category, effective_at. A rule holds from an "add" to the rule's next entry; without one
+    valid_to is null and the rule holds on. Of entries at one moment "remove" wins, then the largest category. Entries without a host or a time are not
     used. The next entry is looked up inside a month first and then among the months that have any,
     so a rule with a long history is spread over tasks.
     """
@@ -78,7 +81,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     return (
         inside.join(following, [*rule, "m"])
         .where(~F.col("gone"))
-        .select(*rule, "category", F.col("at").alias("valid_from"), F.coalesce("within", "following", F.lit(OPEN_END).cast(inside.schema["at"].dataType)).alias("valid_to"))
+        .select(*rule, "category", F.col("at").alias("valid_from"), F.coalesce("within", "following").alias("valid_to"))
     )
 
 
@@ -88,24 +91,29 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     All rules active at fetch time count. The longest pattern decides, then the later start, then the
     smaller list name; a capture is blocked unless no rule is active or the deciding list is in
     ``allow``. A url without a host, or a capture without a time, meets no rule and is not blocked.
-    Repeated captures get the same answer each; an empty list blocks nothing.
+    Repeated captures get the same answer each; an empty list blocks nothing. What the driver sees is
+    the number of labels of the longest domain rule, and the months that have captures.
     """
     inside = {c: f"c{i}" for i, c in enumerate(captures.columns)}
     rows = captures.withColumnsRenamed(inside)
     url, at = F.col(inside[url_col]), F.col(inside[time_col])
     pairs = rows.select(url.alias("u"), at.alias("at")).where("u is not null and at is not null").distinct().select("u", "at", host_of(F.col("u")).alias("h"), path_of(F.col("u")).alias("p")).where("h is not null")
-    domain = F.transform(_suffixes(F.col("h")), lambda x: F.concat(F.lit("d "), x))
+    valid = checkpointed(intervals(entries))
+    labels = valid.where("kind <> 'prefix'").agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    months = sorted(r.m for r in captures.select(_month(F.col(time_col)).alias("m")).where("m is not null").distinct().collect())
+    held_in = F.split(F.lit(",".join(map(str, months))), ",").try_cast("array<int>")
+    domain = F.transform(_suffixes(F.col("h"), labels), lambda x: F.concat(F.lit("d "), x))
     prefix = F.transform(_prefixes(F.col("p")), lambda x: F.concat(F.lit("p "), F.col("h"), F.lit("/"), x))
     asked = pairs.select("u", "at", "p", _month(F.col("at")).alias("m"), F.explode(F.concat(domain, prefix)).alias("key"))
-    valid = intervals(entries)
+    started, ended = _month(F.col("valid_from")), _month(F.col("valid_to"))
     held = valid.select(
         F.when(F.col("kind") == "prefix", F.concat(F.lit("p "), F.col("host"), F.lit("/"), F.substring_index("path", "/", KEY_DEPTH))).otherwise(F.concat(F.lit("d "), "host")).alias("key"),
-        F.explode(F.sequence(_month(F.col("valid_from")), _month(F.col("valid_to")))).alias("m"),
+        F.explode(F.filter(held_in, lambda m: (m >= started) & (ended.isNull() | (m <= ended)))).alias("m"),
         "list", "category", "valid_from", "valid_to", "path",
         F.when(F.col("kind") == "prefix", F.concat_ws("/", "host", "path")).otherwise(F.col("host")).alias("pattern"),
     )
     deeper = (F.col("path") == "") | F.startswith(F.concat(F.col("p"), F.lit("/")), F.concat(F.col("path"), F.lit("/")))
-    hits = asked.join(held, ["key", "m"]).where((F.col("at") >= F.col("valid_from")) & (F.col("at") < F.col("valid_to")) & deeper)
+    hits = asked.join(held, ["key", "m"]).where((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))) & deeper)
     best = F.min_by(F.struct("pattern", "list", "category"), F.struct(-F.char_length("pattern"), -F.unix_micros(F.col("valid_from").cast("timestamp")), "list", "category"))
     answers = hits.groupBy("u", "at").agg(F.count("*").alias("n_active"), best.alias("best"))
     joined = rows.join(answers, (url == F.col("u")) & (at == F.col("at")), "left")

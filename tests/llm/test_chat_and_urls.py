@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -18,8 +20,13 @@ def part(kind, text=None, ref=None, **size):
 
 def done(spark, rows):
     made = C.format_chats(spark.createDataFrame(rows, TURN).repartition(3))
-    out = made.select("*", C.read_back(F.col("formatted")).alias("ts")).select("*", C.masked(F.col("ts"), F.col("spans")).alias("loss"))
-    return {r.conv_id: r for r in out.collect()}
+    out = made.select("*", C.read_back(F.col("formatted")).alias("ts")).select("*", C.masked(F.col("ts"), F.col("trained")).alias("loss"))
+    rows = {r.conv_id: r for r in out.collect()}
+    for r in rows.values():
+        # What the spans cut out of the formatted text, unescaped, is the text under the mask.
+        assert "".join(re.sub(r"<(\\*)\\\|", r"<\1|", r.formatted[a : a + n]) for a, n in r.spans) == r.loss
+        assert len(r.trained) == r.n_turns and sum(r.trained) == len(r.spans)
+    return rows
 
 
 def test_parts_become_ordered_placeholders(spark):
@@ -63,6 +70,20 @@ def test_a_long_conversation(spark):
     assert got.loss == "".join(f"turn {n} <|im_end|>" for n in range(1, 2000, 2))
 
 
+def test_many_turns_take_time_in_proportion(spark):
+    def run(n):
+        turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), C.text_part(F.concat(F.lit("t "), F.col("id").cast("string"))).alias("parts"))
+        made = C.format_chats(turns)
+        out = made.select("n_turns", F.size("spans").alias("k"), C.masked(C.read_back(F.col("formatted")), F.col("trained")).alias("loss"))
+        began = time.perf_counter()
+        row = out.first()
+        assert (row.n_turns, row.k) == (n, n // 2) and row.loss == "".join(f"t {i}" for i in range(1, n, 2))
+        return time.perf_counter() - began
+
+    run(1000)
+    assert run(100_000) < 30
+
+
 DAY = datetime(2024, 1, 1)
 ENTRY = "list string, kind string, pattern string, action string, category string, effective_at timestamp"
 CAPTURE = "page_id long, url string, fetched_at timestamp, h string, best string"
@@ -127,3 +148,17 @@ def test_history_at_random(spark, seed):
                 n += bool(past) and not any(e[3] == "remove" for e in past if e[5] == last)
         expected.append(n)
     assert [x[0] for x in decide(spark, captures, entries)] == expected
+
+
+def test_rules_without_an_end_hold_on_and_long_spans_cost_nothing(spark):
+    """An open rule decides captures of any later year; captures of stray years do not multiply the list."""
+    entries = [("block", "domain", "a.com", "add", "x", 0), ("block", "domain", "b.com", "add", "x", 0), ("block", "domain", "b.com", "remove", "x", 60000)]
+    days = [-1, 0, 400, 46000, 59999, 60000, 2_000_000]
+    got = decide(spark, [(f"http://{h}/", d) for h in ("a.com", "b.com") for d in days], entries)
+    assert [x[3] for x in got] == [False] + [True] * 6 + [False] + [True] * 4 + [False] * 2
+
+
+def test_very_long_hosts_and_paths(spark):
+    entries = [("block", "domain", "evil.com", "add", "x", 0), ("block", "prefix", "evil.org/a", "add", "x", 0)]
+    urls = ["http://" + "a." * 50_000 + "evil.com/", "http://" + "a" * 300_000 + ".com", "http://evil.org/" + "a/" * 100_000, "http://evil.org/" + "b/" * 100_000, "http://" + "." * 1000 + "evil.com/", "http://[::1]/", "evil.com"]
+    assert [x[3] for x in decide(spark, [(u, 1) for u in urls], entries)] == [True, False, True, False, True, False, True]
