@@ -8,8 +8,9 @@ best found, the outer side if ``factor * (mu - d)`` does. Factor one is exact se
 prunes more.
 
 Rows are dealt to shards at random, so shards are equally large whatever the ids and vectors are.
-Equal vectors of a shard are one point of its tree with their ids in order. Every block of queries
-meets every shard once; a shard hands on its k best of each query.
+Equal vectors of a shard are one point of its tree with their ids in order. A shard's tree is built
+once and written with its points; every block of queries meets every shard's tree once, and a shard
+hands on its k best of each query.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 SHARD = 8192
-#: Queries that meet a shard at a time.
-BLOCK = 4096
+#: Queries that meet a shard in one task, and those of them that walk its tree at a time.
+BLOCK, STRIDE = 16384, 4096
 LEAF = 128
 FACTOR = 1.1
 SEED = 11
@@ -34,31 +35,38 @@ SLACK = 1e-12
 
 
 class Tree:
-    """A vantage-point tree over the rows of a matrix, in arrays."""
+    """A vantage-point tree over the rows of a matrix, in arrays.
+
+    A node is (vantage, mu, inner, outer); a leaf has vantage -1 and its part of ``order`` in the last two.
+    """
+
+    def __init__(self, points: np.ndarray, order: np.ndarray, nodes: np.ndarray):
+        self.points, self.order = points, order
+        self.nodes = [(int(v), m, int(a), int(b)) for v, m, a, b in nodes.tolist()]
 
-    def __init__(self, points: np.ndarray, lift: np.ndarray, rng: np.random.Generator):
-        self.points, self.lift = points, lift
-        self.order = np.arange(len(points))
-        self.nodes: list[tuple] = []  # (vantage, mu, inner, outer) or (None, begin, end, None)
-        self._build(0, len(points), rng)
 
-    def _build(self, begin: int, end: int, rng: np.random.Generator) -> int:
-        me = len(self.nodes)
-        self.nodes.append((None, begin, end, None))
+def build(points: np.ndarray, norm: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(order, nodes) of the tree over ``points``, lifted to the sphere of radius ``norm``."""
+    lift = np.sqrt(np.maximum(0, norm * norm - (points**2).sum(axis=1)))
+    order, nodes = np.arange(len(points)), []
+
+    def part(begin: int, end: int) -> int:
+        me = len(nodes)
+        nodes.append((-1, 0.0, begin, end))
         if end - begin <= LEAF:
             return me
-        own = self.order[begin:end]
+        own = order[begin:end]
         vantage = int(rng.choice(own))
-        d = np.sqrt(np.maximum(0, ((self.points[own] - self.points[vantage]) ** 2).sum(axis=1) + (self.lift[own] - self.lift[vantage]) ** 2))
+        d = np.sqrt(np.maximum(0, ((points[own] - points[vantage]) ** 2).sum(axis=1) + (lift[own] - lift[vantage]) ** 2))
         middle = len(own) // 2
         by = np.argpartition(d, middle)
-        self.order[begin:end] = own[by]
-        mu = float(d[by[middle]])
-        inner = self._build(begin, begin + middle, rng)
-        outer = self._build(begin + middle, end, rng)
-        self.nodes[me] = (vantage, mu, inner, outer)
+        order[begin:end] = own[by]
+        nodes[me] = (vantage, float(d[by[middle]]), part(begin, begin + middle), part(begin + middle, end))
         return me
 
+    part(0, len(points))
+    return order, np.array(nodes, float)
+
 
 def search(tree: Tree, queries: np.ndarray, norm: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, point) pairs that hold each query's k best points; inner products may tie within the slack."""
@@ -73,8 +81,8 @@ def search(tree: Tree, queries: np.ndarray, norm: float, k: int, factor: float)
 
     def walk(node: int, active: np.ndarray) -> None:
         vantage, mu, inner, outer = tree.nodes[node]
-        if vantage is None:
-            own = tree.order[mu:inner]
+        if vantage < 0:
+            own = tree.order[inner:outer]
             s = scaled[active] @ tree.points[own].T
             q, p = np.nonzero(s >= best[active].min(axis=1)[:, None] - slack)
             kept.append((active[q], own[p], s[q, p]))
@@ -97,15 +105,15 @@ def search(tree: Tree, queries: np.ndarray, norm: float, k: int, factor: float)
     return q[final], p[final]
 
 
-def _pack(ids: np.ndarray, vectors: np.ndarray) -> bytes:
+def _pack(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.savez(out, ids=ids, vectors=vectors)
+    np.savez(out, **arrays)
     return out.getvalue()
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(data: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(data)) as f:
-        return f["ids"], f["vectors"]
+        return dict(f)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -138,12 +146,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
     shards = -(-count // SHARD)
     blocks = -(-max(1, rows.where("ask").count()) // BLOCK)
 
-    def gather(key: tuple, table: pa.Table) -> pa.Table:
-        data = _pack(table.column("id").to_numpy(), _matrix(table.column("v")))
+    def row(key: tuple, data: bytes) -> pa.Table:
         return pa.table({"dim": [key[0].as_py()], "part": [key[1].as_py()], "data": pa.array([data], pa.binary())})
 
+    def plant(key: tuple, table: pa.Table) -> pa.Table:
+        """A shard: its points and their tree, and for each point the ids that have it, in order."""
+        ids, raw = table.column("id").to_numpy(), _matrix(table.column("v"))
+        by = np.argsort(ids, kind="stable")
+        points, place = np.unique(raw[by], axis=0, return_inverse=True)
+        members = np.argsort(place.ravel(), kind="stable")
+        starts = np.searchsorted(place.ravel()[members], np.arange(len(points) + 1))
+        order, nodes = build(points.astype(np.float64), norm, np.random.default_rng(SEED))
+        return row(key, _pack(ids=ids[by], points=points, members=members, starts=starts, order=order, nodes=nodes))
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        return row(key, _pack(ids=table.column("id").to_numpy(), vectors=_matrix(table.column("v"))))
+
     blob = "dim long, part long, data binary"
-    index = rows.select("id", "v", "dim", F.floor(F.rand(SEED) * shards).cast("long").alias("part")).groupBy("dim", "part").applyInArrow(gather, blob)
+    index = checkpointed(rows.select("id", "v", "dim", F.floor(F.rand(SEED) * shards).cast("long").alias("part")).groupBy("dim", "part").applyInArrow(plant, blob))
     asks = rows.where("ask").select("id", "v", "dim", F.floor(F.rand(SEED + 1) * blocks).cast("long").alias("part")).groupBy("dim", "part").applyInArrow(gather, blob)
     left = index.select("dim", F.col("part").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "data")
     right = asks.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col("part").alias("block"), "data")
@@ -171,27 +191,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         for x in a.column("data"):
-            ids, raw = _unpack(x.as_py())
-            by = np.argsort(ids, kind="stable")
-            ids, raw = ids[by], raw[by]
-            unique, place = np.unique(raw, axis=0, return_inverse=True)
-            members = np.argsort(place, kind="stable")
-            starts = np.searchsorted(place[members], np.arange(len(unique) + 1))
-            points = unique.astype(np.float64)
-            lift = np.sqrt(np.maximum(0, norm * norm - (points**2).sum(axis=1)))
-            tree = Tree(points, lift, np.random.default_rng(SEED))
+            shard = _unpack(x.as_py())
+            tree = Tree(shard["points"].astype(np.float64), shard["order"], shard["nodes"])
             for y in b.column("data"):
-                asked, vectors = _unpack(y.as_py())
-                queries = vectors.astype(np.float64)
-                todo, ask = np.arange(len(queries)), min(k + 1, len(points))
-                while len(todo):
-                    q, who, score = near(tree, ids, members, starts, queries[todo], asked[todo], ask)
-                    # An id with several vectors takes several of the points; with less than k ids a query asks for more points.
-                    done = np.bincount(q, minlength=len(todo)) >= k if ask < len(points) else np.ones(len(todo), bool)
-                    take = done[q]
-                    for column, values in zip(out, (asked[todo][q[take]], who[take], score[take]), strict=True):
-                        column.append(values)
-                    todo, ask = todo[~done], min(2 * ask, len(points))
+                block = _unpack(y.as_py())
+                for i in range(0, len(block["ids"]), STRIDE):
+                    asked, queries = block["ids"][i : i + STRIDE], block["vectors"][i : i + STRIDE].astype(np.float64)
+                    todo, ask = np.arange(len(queries)), min(k + 1, len(tree.points))
+                    while len(todo):
+                        q, who, score = near(tree, shard["ids"], shard["members"], shard["starts"], queries[todo], asked[todo], ask)
+                        # An id with several vectors takes several of the points; with less than k ids a query asks for more points.
+                        done = np.bincount(q, minlength=len(todo)) >= k if ask < len(tree.points) else np.ones(len(todo), bool)
+                        take = done[q]
+                        for column, values in zip(out, (asked[todo][q[take]], who[take], score[take]), strict=True):
+                            column.append(values)
+                        todo, ask = todo[~done], min(2 * ask, len(tree.points))
         query, vec, score = (np.concatenate(c) if c else np.zeros(0) for c in out)
         return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 
