@@ -5,28 +5,30 @@ more". A hash whose cells all hold "2 and more" is possibly repeated; any other
 single. Pass two asks that filter about every row: single rows pass straight through, the others are
 grouped by their digest (the largest groups without moving their rows). False positives of the filter are groups of one, so the result is exact.
 
-A slice's filter has at most ``MAX_FILTER_BYTES``, so it can be broadcast whatever the corpus holds;
-a larger corpus has more slices, not larger filters.
+A filter of up to ``MAX_FILTER_BYTES`` is broadcast. For more rows than that serves, the hash space
+has slices of ``SLICE_CELLS`` cells; every slice's full cells are one row, and rows meet those of their
+slice in a join, all slices in one job. Slices are small, and a slice with a very frequent hash is
+split like any skewed join, so no task depends on how large the corpus or a group is.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, checkpointed, fresh, give_back, join_skewed, shared_folder, text_or_empty
+from .common import BLANK, checkpointed, fresh, give_back, join_skewed, text_or_empty
 
 BITS_PER_ROW = 16
 MAX_FILTER_BYTES = 32 << 20
 #: Cells that one task of the merge holds.
 SEGMENT = 1 << 20
-SALTS = 32
+#: Cells of a slice where there is more than one: 2,048 rows' worth.
+SLICE_CELLS = 1 << 15
 
 
 def normalised(text: Column) -> Column:
@@ -37,28 +39,26 @@ def digest(name: str) -> Column:
     return F.sha2(normalised(text_or_empty(name)), 256)
 
 
-def _cells(hashes: np.ndarray, slices: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slice of each hash and its two cells there."""
+def _cells(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two cells of each hash."""
     h = hashes.astype(np.int64).view(np.uint64)
     mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    return (h % np.uint64(slices)).astype(np.int64), ((h >> np.uint64(20)) % np.uint64(size)).astype(np.int64), (mixed % np.uint64(size)).astype(np.int64)
+    return ((h >> np.uint64(20)) % np.uint64(size)).astype(np.int64), (mixed % np.uint64(size)).astype(np.int64)
 
 
-def _repeated_cells(hashes: DataFrame, slices: int, size: int) -> DataFrame:
-    """(slice, segment, bitmap of the cells that hold "2 and more"), empty bitmaps left out."""
-    segments = -(-size // SEGMENT)
+def _repeated_cells(hashes: DataFrame, size: int) -> DataFrame:
+    """(segment, bitmap of the cells that hold "2 and more"), empty bitmaps left out."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, a, b = _cells(batch.column(0).to_numpy(zero_copy_only=False), slices, size)
-            cells = np.concatenate([which * size + a, (which * size + b)[a != b]])
-            cells, counts = np.unique(cells, return_counts=True)
-            part = cells // size * segments + cells % size // SEGMENT
+            a, b = _cells(batch.column(0).to_numpy(zero_copy_only=False), size)
+            cells, counts = np.unique(np.concatenate([a, b[a != b]]), return_counts=True)
+            part = cells // SEGMENT
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
             rows = []
             for i, j in zip(starts, [*starts[1:], len(part)], strict=True):
-                inside = (cells[i:j] % size % SEGMENT).astype("<u4")
+                inside = (cells[i:j] % SEGMENT).astype("<u4")
                 rows.append({"part": int(part[i]), "once": inside.tobytes(), "twice": inside[counts[i:j] > 1].tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())]))
 
@@ -77,35 +77,20 @@ def _repeated_cells(hashes: DataFrame, slices: int, size: int) -> DataFrame:
 
 
 def flag_possibly_repeated(keys: DataFrame, hash_col: str, out: str) -> DataFrame:
-    """Adds a boolean column: false only where no other row has the hash.
-
-    With more than one slice the rows are written once, parted by slice, and once more with their
-    flags, so each slice reads its own rows only and one filter at a time is in memory.
-    """
-    spark = keys.sparkSession
+    """Adds a boolean column: false only where no other row has the hash."""
     total = keys.count()
-    slices = max(1, -(-total * BITS_PER_ROW // (MAX_FILTER_BYTES * 8)))
-    size = max(1024, -(-total * BITS_PER_ROW // slices))
-    segments = -(-size // SEGMENT)
-    if slices == 1:
-        bitmaps = _repeated_cells(keys.select(hash_col), slices, size)
-        return keys.withColumn(out, _asker(_filter(bitmaps, segments), size)(F.col(hash_col)))
-    part = fresh("slice", keys.columns)
-    folder = f"{shared_folder(spark)}/bloom-{uuid.uuid4().hex}"
-    keys.withColumn(part, F.pmod(_unsigned(hash_col), F.lit(slices)).cast("int")).sortWithinPartitions(part).write.partitionBy(part).parquet(f"{folder}/parted")
-    parted = spark.read.parquet(f"{folder}/parted")
-    bitmaps = checkpointed(_repeated_cells(parted.select(hash_col), slices, size))
-    for k in range(slices):
-        known = _filter(bitmaps.where(F.col("part").between(k * segments, (k + 1) * segments - 1)), segments)
-        own = parted.where(F.col(part) == k).drop(part)
-        own.withColumn(out, _asker(known, size)(F.col(hash_col))).write.mode("append").parquet(f"{folder}/flagged")
-        known.destroy()
-    return spark.read.schema(keys.schema.add(out, "boolean")).parquet(f"{folder}/flagged")
-
-
-def _filter(bitmaps: DataFrame, segments: int) -> Broadcast:
-    """One slice's filter, of ``MAX_FILTER_BYTES`` at most, for all tasks."""
-    return bitmaps.sparkSession.sparkContext.broadcast({r.part % segments: bytes(r.bitmap) for r in bitmaps.collect()})
+    if total * BITS_PER_ROW <= MAX_FILTER_BYTES * 8:
+        size = max(1024, total * BITS_PER_ROW)
+        known = keys.sparkSession.sparkContext.broadcast({r.part: bytes(r.bitmap) for r in _repeated_cells(keys.select(hash_col), size).collect()})
+        return keys.withColumn(out, _asker(known, size)(F.col(hash_col)))
+    slices = -(-total * BITS_PER_ROW // SLICE_CELLS)
+    part, full = (fresh(x, keys.columns) for x in ("slice", "full"))
+    mixed = lambda i, n: F.pmod(F.xxhash64(F.col(hash_col), F.lit(i)), F.lit(n))
+    which, a, b = mixed(1, slices), mixed(2, SLICE_CELLS).cast("int"), mixed(3, SLICE_CELLS).cast("int")
+    cells = keys.select(which.alias(part), F.explode(F.array_distinct(F.array(a, b))).alias("cell")).groupBy(part, "cell").count().where("count > 1")
+    filters = cells.groupBy(part).agg(F.collect_list("cell").alias(full))
+    met = keys.withColumn(part, which).join(filters, part, "left")
+    return met.withColumn(out, F.coalesce(F.array_contains(full, a) & F.array_contains(full, b), F.lit(False))).select(*keys.columns, out)
 
 
 def _asker(known: Broadcast, size: int) -> Callable[[Column], Column]:
@@ -113,9 +98,8 @@ def _asker(known: Broadcast, size: int) -> Callable[[Column], Column]:
     def ask(h):
         import pandas as pd
 
-        _, *both = _cells(h.to_numpy(), 1, size)
         hit = np.ones(len(h), bool)
-        for cells in both:
+        for cells in _cells(h.to_numpy(), size):
             for s in np.unique(cells // SEGMENT):
                 at = cells // SEGMENT == s
                 bits = np.frombuffer(known.value.get(int(s)) or bytes(SEGMENT // 8), np.uint8)
@@ -126,44 +110,49 @@ def _asker(known: Broadcast, size: int) -> Callable[[Column], Column]:
     return ask
 
 
-def _unsigned(name: str) -> Column:
-    """The hash as an unsigned number, as numpy sees it."""
-    c = F.col(name).cast("decimal(20,0)")
-    return F.when(c < 0, c + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(c)
+def _decided(docs: DataFrame, sha: str, id_col: str, taken: list[str]) -> tuple[DataFrame, DataFrame, tuple[str, str, str]]:
+    """(rows whose digest is certainly single, the other rows with their group's decision, the names of the decision).
+
+    A decision: the id that stays, the number of the group's rows, and how many of them have that id.
+    """
+    h, maybe, keep, size, n_keep = (fresh(x, taken) for x in ("hash", "maybe", "keep_id", "group_size", "n_keep"))
+    flagged = flag_possibly_repeated(docs.withColumn(h, F.xxhash64(sha)), h, maybe).drop(h)
+    again = flagged.where(F.col(maybe)).drop(maybe)
+    per_id = again.groupBy(sha, id_col).agg(F.count("*").alias("c"))
+    groups = per_id.groupBy(sha).agg(F.min(id_col).alias(keep), F.sum("c").alias(size), F.coalesce(F.min_by("c", id_col), F.sum("c")).alias(n_keep))
+    return flagged.where(~F.col(maybe)).drop(maybe), join_skewed(again, groups, sha, size), (keep, size, n_keep)
 
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 and the carried columns.
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal normalised texts the one with the smallest id stays; of rows that also share
     that id, one. A null text counts as empty. A null id is never the smallest unless all ids of its
     group are null; then one of those rows stays. An empty table gives an empty result.
     """
-    names = [id_col, *(c for c in carry if c != id_col)]
-    sha, h, maybe, keep, size, n_keep = (fresh(x, docs.columns) for x in ("text_sha256", "hash", "maybe", "keep_id", "group_size", "n_keep"))
-    keyed = docs.select(*names, digest(text_col).alias(sha)).withColumn(h, F.xxhash64(sha))
-    if not carry:
-        keyed = checkpointed(keyed)
-    flagged = flag_possibly_repeated(keyed, h, maybe).drop(h)
-    alone = flagged.where(~F.col(maybe)).select(*names, F.col(id_col).alias(keep), F.lit(1).cast("long").alias(size), F.lit(True).alias("kept"), sha)
-    again = flagged.where(F.col(maybe)).drop(maybe)
-    per_id = again.groupBy(sha, id_col).agg(F.count("*").alias("c"))
-    groups = per_id.groupBy(sha).agg(F.min(id_col).alias(keep), F.sum("c").alias(size), F.coalesce(F.min_by("c", id_col), F.sum("c")).alias(n_keep))
-    joined = join_skewed(again, groups, sha, size)
+    sha = fresh("text_sha256", docs.columns)
+    keyed = checkpointed(docs.select(id_col, digest(text_col).alias(sha)))
+    single, met, (keep, size, n_keep) = _decided(keyed, sha, id_col, docs.columns)
+    alone = single.select(id_col, F.col(id_col).alias(keep), F.lit(1).cast("long").alias(size), F.lit(True).alias("kept"), sha)
     first = F.col(id_col).eqNullSafe(F.col(keep))
-    clear = joined.where(~first | (F.col(n_keep) == 1)).select(*names, keep, size, first.alias("kept"), sha)
-    # Repeated ids: ranks inside salts first, so that no task gets all copies of one row.
-    salted = joined.where(first & (F.col(n_keep) > 1)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    inner = salted.withColumn("r", F.row_number().over(Window.partitionBy(sha, "salt").orderBy(F.lit(0))))
-    heads = inner.where("r = 1").withColumn("q", F.row_number().over(Window.partitionBy(sha).orderBy("salt")))
-    tails = inner.where("r > 1").withColumn("q", F.lit(2))
-    unclear = heads.unionByName(tails).select(*names, keep, size, (F.col("q") == 1).alias("kept"), sha)
+    clear = met.where(~first | (F.col(n_keep) == 1)).select(id_col, keep, size, first.alias("kept"), sha)
+    # Rows that share the id that stays are alike in all columns: they are counted and written out again, the first of them as kept.
+    alike = met.where(first & (F.col(n_keep) > 1)).groupBy(sha, id_col, keep, size).agg(F.count("*").alias("copies"))
+    unclear = alike.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nth")).select(id_col, keep, size, (F.col("nth") == 1).alias("kept"), sha)
     return alone.unionByName(clear).unionByName(unclear).withColumnsRenamed({keep: "keep_id", size: "group_size", sha: "text_sha256"})
 
 
 def keep_first_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns only."""
+    """The rows of ``docs`` that stay, one for each text, with their own columns only; which as in exact_dedup.
+
+    Of rows that share text and id, any one stays, whole. Only rows whose text may be repeated move.
+    """
     inside = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.withColumnsRenamed(inside)
-    done = exact_dedup(plain, inside[text_col], inside[id_col], tuple(plain.columns))
-    return done.where("kept").select(*(F.col(v).alias(k) for k, v in inside.items()))
+    key, names = inside[id_col], tuple(inside.values())
+    keyed = plain.withColumn("sha", digest(inside[text_col]))
+    single, met, (keep, _, n_keep) = _decided(keyed, "sha", key, keyed.columns)
+    first = met.where(F.col(key).eqNullSafe(F.col(keep)))
+    clear = first.where(F.col(n_keep) == 1).select(*names)
+    one = first.where(F.col(n_keep) > 1).dropDuplicates(["sha"]).select(*names)
+    return single.select(*names).unionByName(clear).unionByName(one).select(*(F.col(v).alias(k) for k, v in inside.items()))

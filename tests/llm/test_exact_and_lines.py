@@ -57,10 +57,28 @@ def test_keep_first_copies_keeps_columns_and_one_row_a_group(spark, rows):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((x[0] for x in plain_exact(rows) if x[3]), key=repr)
 
 
+@pytest.mark.parametrize("rows", CASES)
+def test_cases_in_slices(spark, monkeypatch, rows):
+    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BYTES", 1)
+    monkeypatch.setattr(exact_dedup, "SLICE_CELLS", 64)
+    test_exact_dedup_cases(spark, rows)
+    test_keep_first_copies_keeps_columns_and_one_row_a_group(spark, rows)
+
+
+def test_rows_that_share_text_and_id_but_not_the_rest(spark):
+    """Of a thousand such rows one whole row stays, however they are dealt."""
+    rows = [(1, "same", str(i % 7), i, None, None) for i in range(1000)] + [(2, "same", "x", 0, None, None), (3, "other", "y", 0, None, None)]
+    df = spark.createDataFrame(rows, DDL)
+    for n in (1, 5):
+        kept = exact_dedup.keep_first_copies(df.repartition(n)).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == [(1, "same"), (3, "other")] and all(tuple(r) in rows for r in kept)
+
+
 def test_many_slices_and_hot_groups_stay_exact(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, "hot") for i in range(1500)] + [(i, f"t{rng.randrange(2500)}") for i in range(1500, 5000)]
     monkeypatch.setattr(exact_dedup, "MAX_FILTER_BYTES", 2500)
+    monkeypatch.setattr(exact_dedup, "SLICE_CELLS", 1024)
     got = exact_dedup.exact_dedup(docs(spark, rows)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == plain_exact(rows)
 
