@@ -6,8 +6,9 @@ of two fingerprints differ part by part by no more, in sum, than their bits do,
 counts differ beyond the radius are skipped; the others are compared with exclusive-or and bit
 counts, all against all. Nothing is approximated.
 
-Tiles hold at most ``TILE`` fingerprints; larger ones are split and their parts compared pairwise,
-each pair in a row of its own. A comparison hands on a spanning forest of what it linked, never all
+Tiles hold at most ``TILE`` fingerprints; larger ones are split into chunks. The pairs of chunks to
+compare are made as pairs of keys, which are dealt out by their second chunk before any chunk's
+fingerprints are fetched: so the commonest tile is as many tasks' work as it has chunks. A comparison hands on a spanning forest of what it linked, never all
 pairs. Components come from rounds of star contraction over those links, every round in the shared
 folder.
 """
@@ -32,6 +33,8 @@ SEED = 42
 TILE = 2048
 PARTS = 4
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Marks of 16 bytes that go to every task at most.
+MANY = 500_000
 #: Shingles whose bits are added up at a time.
 BLOCK = 1 << 15
 
@@ -135,8 +138,11 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = keyed.join(sizes, "tile").select("tile", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("chunk"), "fp")
     tiles = checkpointed(dealt.groupBy("tile", "chunk").applyInArrow(blob, "tile long, chunk long, fps binary"))
     steps = F.array(*(F.lit(k).cast("long") for k in _offsets(radius)))
-    asks = tiles.select(F.col("tile").alias("from"), F.col("chunk").alias("c"), F.col("fps").alias("x"), F.explode(steps).alias("step")).withColumn("tile", F.col("from") + F.col("step"))
-    pairs = asks.join(tiles, "tile").where("step > 0 or c <= chunk").select("x", F.col("fps").alias("y"))
+    keys = tiles.select("tile", "chunk")
+    asks = keys.select(F.col("tile").alias("tile_x"), F.col("chunk").alias("chunk_x"), F.explode(steps).alias("step")).withColumn("tile", F.col("tile_x") + F.col("step"))
+    pairs = asks.join(keys, "tile").where("step > 0 or chunk_x <= chunk").drop("step")
+    first = pairs.join(tiles.select(F.col("tile").alias("tile_x"), F.col("chunk").alias("chunk_x"), F.col("fps").alias("x")), ["tile_x", "chunk_x"])
+    both = first.join(tiles.hint("shuffle_hash"), ["tile", "chunk"]).select("x", F.col("fps").alias("y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +151,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,10 +189,18 @@ def keep_representatives(docs: DataFrame, text_col: str = "text", id_col: str =
     text, key = inside[text_col], inside[id_col]
     mark = F.unhex(F.md5(F.to_json(F.struct(*plain.columns), {"ignoreNullFields": "false"}).cast("binary")))
     rows = checkpointed(fingerprints(plain.withColumn("mark", mark), text, {"id": F.col(key), "mark": F.col("mark")}, words))
-    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("mark"))).alias("own"))
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("mark"))).alias("own"), F.count("*").alias("copies"))
     known = first.join(_grouped(rows, radius).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = known.groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.id").alias("kept_id"), F.col("own.mark").alias("kept_mark"))
-    stay = plain.withColumn("mark", mark).join(kept, F.col("mark") == F.col("kept_mark"), "left_semi")
-    again = fresh("again", plain.columns)
-    # Only rows that repeat in all columns share a mark; of those, one stays.
-    return stay.withColumn(again, F.col("mark")).dropDuplicates([again]).select(*(F.col(v).alias(k) for k, v in inside.items()))
+    kept = known.groupBy("root").agg(F.min("own").alias("own")).select("root", F.col("own.mark").alias("kept"))
+    decided = join_skewed(rows.select("fp", "mark"), known.select("fp", "root", "copies").join(kept, "root").select("fp", "kept", "copies"), "fp", "copies")
+    gone = checkpointed(decided.where("mark <> kept").select("mark").distinct())
+    # Rows that repeat in all columns share a mark: of those that stay, one does.
+    alike = checkpointed(decided.where("mark = kept").groupBy("mark").count().where("count > 1").select("mark"))
+    stay = plain.withColumn("mark", mark).join(_sized(gone), "mark", "left_anti")
+    one = stay.join(_sized(alike), "mark", "left_semi").dropDuplicates(["mark"])
+    return stay.join(_sized(alike), "mark", "left_anti").unionByName(one).select(*(F.col(v).alias(k) for k, v in inside.items()))
+
+
+def _sized(marks: DataFrame) -> DataFrame:
+    """Marks to join with: to every task if they are ``MANY`` at most, by a shuffle otherwise."""
+    return F.broadcast(marks) if marks.count() <= MANY else marks.hint("merge")
