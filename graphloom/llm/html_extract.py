@@ -26,17 +26,17 @@ from .common import small_batches
 
 # Fixed values of HTML: void elements, elements whose text is not shown, elements that break lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript head title iframe object svg math canvas audio video select option datalist textarea".split())
+HIDDEN = frozenset("script style template noscript head title iframe svg canvas audio video select option datalist textarea".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCK = frozenset(
     "html body address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table caption thead tbody tfoot tr td th ul label legend".split()
 )
-#: What an opening tag closes: an open element of these, up to the nearest element of the others.
-CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
-CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
+#: What an opening tag closes: the outermost open element of these that no element of the others parts from it.
+CLOSING = [(frozenset(a.split()), frozenset(b.split())) for a, b in (("p", "button td th caption html"), ("li", "ul ol menu"), ("dt dd", "dl"), ("tr td th", "table"), ("td th", "tr table"))]
+MATTER = frozenset().union(*(a | b for a, b in CLOSING))
+CLOSES = {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4}
 ENDS_P = BLOCK - {"html", "body", "button", "label", "legend"}
-P_SCOPE = frozenset("button td th caption html".split())
 #: Words of class, id and role that tell something; compared as the start of a word's parts.
 HINTS = tuple(
     "nav menu breadcrumb head masthead banner logo foot copyright legal side aside widget ad ads advert sponsor promo cookie consent notice alert gdpr popup modal "
@@ -44,8 +44,10 @@ HINTS = tuple(
     "article content post entry story main body text blog prose page wrapper container".split()
 )
 HINT = {h: i for i, h in enumerate(HINTS)}
-TAG = re.compile(r"""<(?:!--|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[!?/][^>]*>|(/?)([A-Za-z][^\s/>]*)[^>]*>)""")
-NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: The rest of a tag up to its end, which is no angle bracket inside of quotes.
+REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 GROUPS = {t: g for g, ts in {"list": "ul ol dl menu dir", "item": "li dt dd", "head": "h1 h2 h3 h4 h5 h6 hgroup", "quote": "blockquote pre figure figcaption details summary", "cell": "td th caption", "row": "tr thead tbody tfoot", "field": "form fieldset label legend button", "top": "html body"}.items() for t in ts.split()}
 TEXT = "#text"
@@ -56,10 +58,10 @@ PLAIN = frozenset("p ul ol dl dir li dt dd h1 h2 h3 h4 h5 h6 hgroup table thead
 
 
 class Node:
-    __slots__ = ("parent", "tag", "hints", "text", "linked", "hidden", "label")
+    __slots__ = ("parent", "tag", "hints", "text", "linked", "label")
 
-    def __init__(self, parent: int, tag: str, hints: tuple[str, ...] = (), hidden: bool = False, label: int | None = None):
-        self.parent, self.tag, self.hints, self.hidden, self.label = parent, tag, hints, hidden, label
+    def __init__(self, parent: int, tag: str, hints: tuple[str, ...] = (), label: int | None = None):
+        self.parent, self.tag, self.hints, self.label = parent, tag, hints, label
         self.text, self.linked = "", 0
 
 
@@ -67,7 +69,7 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], bool]:
     found, hidden = set(), False
     for name, *values in NAMES.findall(raw):
         name, value = name.lower(), "".join(values)
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             hidden = True
         elif name != "style":
             for part in PARTS.findall(value):
@@ -80,128 +82,139 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], bool]:
     return tuple(sorted(found)), hidden
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, whether closing, attributes) of every tag, comment and declaration (these with an empty name).
+
+    Goes forward only. A tag whose quotes never end ends at its first angle bracket, and so do all
+    tags after it; without any such bracket the rest is text, as a comment without end is a comment to the end.
+    """
+    at, end, loose = 0, len(source), False
+    while True:
+        begin = source.find("<", at)
+        if begin < 0:
+            return
+        if source.startswith("<!--", begin):
+            short = source.startswith(("<!-->", "<!--->"), begin)
+            stop = source.find("-->", begin + 2 if short else begin + 4)
+            at = end if stop < 0 else stop + 3
+            yield begin, at, "", False, ""
+            continue
+        closing = source.startswith("/", begin + 1)
+        name = NAME.match(source, begin + 1 + closing)
+        if name is None and not source.startswith(("!", "?", "/"), begin + 1):
+            at = begin + 1
+            continue
+        after = name.end() if name else begin + 2
+        whole = None if loose or name is None else REST.match(source, after)
+        loose = loose or (name is not None and whole is None)
+        stop = whole.end() - 1 if whole else source.find(">", after)
+        if stop < 0:
+            return
+        at = stop + 1
+        yield begin, at, name[0].lower() if name else "", closing, source[after:stop]
+        if name and not closing and name[0].lower() in RAW:
+            # Its text ends at its own closing tag, whatever stands in it.
+            inside = re.compile(f"</{name[0]}(?=[\\s/>])", re.I).search(source, at)
+            last = end if inside is None else (source.find(">", inside.end()) + 1 or end)
+            yield at, last, "", False, ""
+            at = last
+
+
 def parse(source: str, labels: bool = False) -> list[Node]:
     """The tree in document order; a text run is a child of the element that holds it.
 
-    Inline tags part no text. With ``labels`` an attribute data-content="1" or "0" labels what it holds.
+    Inline tags part no text, those that hide what they hold included. With ``labels`` an attribute
+    data-content="1" or "0" labels what it holds. Time and memory grow with the page's length.
     """
     nodes = [Node(-1, "html")]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements that matter: (tag, node)
+    # Open elements that matter: (tag, node, for each of CLOSING the place of the outermost element that would be closed, -1 if none).
+    stack: list[tuple[str, int, tuple[int, ...]]] = [("html", 0, (-1,) * len(CLOSING))]
+    opened: Counter[str] = Counter()
     run: list[str] = []
-    state = {"links": 0, "linked": 0}
+    linked, in_link = 0, False
     hidden_at = 0  # depth of the outermost hidden element, 0 if none
 
     def flush() -> None:
+        nonlocal linked
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if text:
                 me = stack[-1][1]
-                leaf = Node(me, TEXT, hidden=False, label=nodes[me].label)
-                leaf.text, leaf.linked = text, min(len(text), state["linked"])
+                leaf = Node(me, TEXT, label=nodes[me].label)
+                leaf.text, leaf.linked = text, min(len(text), linked)
                 nodes.append(leaf)
-        state["linked"] = 0
+        linked = 0
 
     def add(data: str) -> None:
+        nonlocal linked
         if data and not hidden_at:
             run.append(data)
-            if state["links"]:
-                state["linked"] += len(data)
+            linked += len(data) if in_link else 0
+
+    def push(tag: str, node: int) -> None:
+        before, here = stack[-1][2], len(stack)
+        stack.append((tag, node, before if tag not in MATTER else tuple(-1 if tag in stops else here if x < 0 and tag in shuts else x for x, (shuts, stops) in zip(before, CLOSING, strict=True))))
+        opened[tag] += 1
 
     def close(to: int) -> None:
         nonlocal hidden_at
-        flush()
-        del stack[to:]
+        if any(stack[i][0] in BLOCK for i in range(to, len(stack))):
+            flush()
+        while len(stack) > to:
+            opened[stack.pop()[0]] -= 1
         if hidden_at and len(stack) < hidden_at:
             hidden_at = 0
 
-    at, end = 0, len(source)
-    while at < end:
-        m = TAG.search(source, at)
-        if m is None:
-            add(source[at:])
-            break
-        add(source[at : m.start()])
-        at = m.end()
-        if m[0] == "<!--":
-            stop = source.find("-->", m.start() + 2 if source.startswith("<!-->", m.start()) or source.startswith("<!--->", m.start()) else at)
-            at = end if stop < 0 else stop + 3
-            continue
-        name = m[2] or m[5]
-        if name is None:
-            continue
-        closing, tag = bool(m[1] or m[4]), name.lower()
+    at = 0
+    for begin, end, tag, closing, attributes in tags(source):
+        add(source[at:begin])
+        at = end
         if tag == "a":
-            state["links"] = 0 if closing else 1
-            continue
-        if tag == "br":
+            in_link = not closing
+        elif tag == "br":
             add(" ")
-            continue
-        if tag not in BLOCK and tag not in HIDDEN:
+        elif tag not in BLOCK and tag not in HIDDEN:
             if tag in ("img", "input") and not closing:
                 add(" ")
-            continue
-        if closing:
+        elif closing:
             if tag in ("html", "body"):
                 flush()
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                if tag == "p":
-                    flush()
-            continue
-        if tag in RAW:
-            stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)
-            at = end if stop is None else (source.find(">", stop.end()) + 1 or end)
-            continue
-        if tag in HIDDEN:
-            if not (m[3] or "").rstrip().endswith("/"):
+            elif opened[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close(i)
+            elif tag == "p":
                 flush()
-                if tag == "head" or not hidden_at:
-                    stack.append((tag, stack[-1][1]))
-                    hidden_at = hidden_at or len(stack)
-                else:
-                    stack.append((tag, stack[-1][1]))
-            continue
-        if tag == "body":
-            for i, (t, _) in enumerate(stack):
-                if t == "head":
-                    close(i)
-                    break
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in P_SCOPE:
-                    break
-        if tag in CLOSES:
-            shuts, stops = CLOSES[tag]
-            found = 0
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in shuts:
-                    found = i
-                if stack[i][0] in stops:
-                    break
-            if found:
-                close(found)
-        flush()
-        if tag == "hr":
-            continue
-        hints, hidden = _attributes(m[3]) if m[3] else ((), False)
-        if hidden_at:
-            stack.append((tag, stack[-1][1]))
-            continue
-        label = nodes[stack[-1][1]].label
-        if labels and (mark := re.search(r'data-content="([01])"', m[3] or "")):
-            label = int(mark[1])
-        nodes.append(Node(stack[-1][1], tag, hints, label=label))
-        stack.append((tag, len(nodes) - 1))
-        if hidden:
-            hidden_at = len(stack)
+        elif tag in RAW:
+            pass
+        elif tag in HIDDEN:
+            if not attributes.rstrip().endswith("/"):
+                push(tag, stack[-1][1])
+                hidden_at = hidden_at or len(stack)
+        else:
+            if tag == "body" and opened["head"]:
+                close(next(i for i, x in enumerate(stack) if x[0] == "head"))
+            if tag in ENDS_P and stack[-1][2][0] > 0:
+                close(stack[-1][2][0])
+            if tag in CLOSES and stack[-1][2][CLOSES[tag]] > 0:
+                close(stack[-1][2][CLOSES[tag]])
+            flush()
+            if tag == "hr":
+                continue
+            if hidden_at:
+                push(tag, stack[-1][1])
+                continue
+            hints, hidden = _attributes(attributes) if attributes else ((), False)
+            label = nodes[stack[-1][1]].label
+            if labels and (mark := re.search(r'data-content="([01])"', attributes)):
+                label = int(mark[1])
+            nodes.append(Node(stack[-1][1], tag, hints, label=label))
+            push(tag, len(nodes) - 1)
+            if hidden:
+                hidden_at = len(stack)
+    add(source[at:])
     flush()
     return nodes
 
