@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import checkpointed, shared_folder
 
-__all__ = ["BLANK", "checkpointed", "fresh", "give_back", "join_skewed", "shared_folder", "small_batches", "table", "text_or_empty"]
+__all__ = ["BLANK", "checkpointed", "fresh", "give_back", "join_skewed", "remove", "shared_folder", "small_batches", "table", "text_or_empty"]
 #: ASCII white space as a Java character class.
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever file system its path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fresh, small_batches
 
 # Fixed values of HTML: void elements, elements whose text is not shown, elements that break lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -411,11 +411,13 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
     """The kept columns, text and n_chars for every row of ``pages``.
 
     A null or empty page has empty text, and so has one without content. Rows do not move; pages are
-    read whole. The model is small and travels with the task.
+    read whole. The model is small and travels with the task. Where a kept column has the name text or
+    n_chars, the new one has an underscore before it.
     """
     small_batches(pages)
     made = model or default_model()
-    names = [*keep, "text", "n_chars"]
+    made_names = [fresh(x, list(keep)) for x in ("text", "n_chars")]
+    names = [*keep, *made_names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -425,5 +427,5 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
     rows = pages.select(F.col(html_col).alias("html"), *(F.col(c) for c in keep))
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "text string, n_chars long"])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), f"`{made_names[0]}` string, `{made_names[1]}` long"])
     return rows.mapInArrow(run, ddl)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches
+from .common import checkpointed, give_back, small_batches
 from .token_bpe import PLAIN, byte_letters
 
 LENGTH = 1024
@@ -129,7 +129,8 @@ def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str =
     A row's tokens are its text's ids and ``end_id``; a null text is empty, so every row has a token.
     Each token lies in exactly one piece, and a sequence's pieces follow each other from offset 0.
     Rows are packed each for itself, repeated ids and texts too; ids may be null. An empty table
-    gives no pieces.
+    gives no pieces. The id keeps its name, or is called doc_id where another column has it. Token ids and
+    each row's group are written once before the groups meet, so that a task that is run again deals no row anew.
     """
     small_batches(docs)
     groups = max(1, -(-docs.count() // group))
@@ -184,8 +185,8 @@ def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str =
         return pa.table({n: pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, out, strict=True)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.floor(F.rand(seed) * groups).cast("long").alias("g"))
-    done = rows.mapInArrow(cut, "id long, g long, n long, full binary, rest binary").groupBy("g").applyInArrow(fit, PIECE + ", ids binary" * keep_ids)
-    return done.withColumnRenamed("doc_id", id_col)
+    done = checkpointed(rows.mapInArrow(cut, "id long, g long, n long, full binary, rest binary")).groupBy("g").applyInArrow(fit, PIECE + ", ids binary" * keep_ids)
+    return done if id_col.lower() in done.columns else done.withColumnRenamed("doc_id", id_col)
 
 
 def _narrow(data: bytes) -> bytes:

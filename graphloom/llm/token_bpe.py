@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-CACHE = 300_000
+CACHE, CACHED_LENGTH = 300_000, 64
 #: The fixed words of the tokenizer's own split, as its file states them.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with other than these characters ask the library: Python might normalise or class them otherwise.
@@ -176,9 +176,10 @@ class Encoder:
     def _word(self, word: str) -> tuple[bytes, str]:
         ids = self.bpe.word(word[1:] if word[0] == "\0" and len(word) > 1 else self.bpe.letters(word))
         found = np.array(ids, "<u4").tobytes(), " ".join(map(self.bpe.names.__getitem__, ids))
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        self.seen[word] = found
+        if len(word) <= CACHED_LENGTH:
+            if len(self.seen) >= CACHE:
+                self.seen.clear()
+            self.seen[word] = found
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:

@@ -129,3 +129,21 @@ def test_packing_leaves_little_padding(spark):
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokenizer(BYTE), length=64, group=100).collect()
     tokens = sum(p.length for p in got)
     assert check_pieces(rows, got, 64) < 6 * 64 + 8 * tokens / 64
+
+
+def test_every_entry_of_the_vocabulary_is_the_same_in_both_libraries():
+
+    ids = packing.Ids(tokenizer("byte_bpe_50k.json"))
+    texts = [ids.library.decode([i]) for i in range(ids.library.get_vocab_size())]
+    for a, b in zip(texts, reversed(texts), strict=True):
+        text = a + b
+        assert ids.encode(text) == np.array(ids.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+@pytest.mark.parametrize("name", ["doc_id", "length", "Offset", "weird id"])
+def test_pieces_have_no_two_columns_of_a_name(spark, name):
+
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None)], f"`{name}` long, text string")
+    out = packing.pack(df, tokenizer("byte_bpe_50k.json"), id_col=name)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) == 7
+    assert sum(r["doc_tokens"] for r in out.collect()) == 4 + 4 + 1
