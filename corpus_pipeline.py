@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import exact_dedup, packing, simhash, toxicity
-from graphloom.llm.common import shared_folder, table
+from graphloom.llm.common import remove, shared_folder, table
 from graphloom.llm.queries import tokenizer
 
 
@@ -39,7 +39,10 @@ STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("simhash", dr
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again by the next."""
+    """All stages, each written as Parquet to the shared folder and read again by the next.
+
+    What a stage wrote goes when the next one is written; the last folder stays, as the result reads it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -47,6 +50,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
 
 
