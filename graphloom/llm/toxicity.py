@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is read in
-overlapping windows of a few words; a window's distance is how many bytes shorter it gets with the
+windows of a few whole words; a window's distance is how many bytes shorter it gets with the
 toxic dictionary than with the ordinary one. Windows of different lengths and languages compare,
 since both dictionaries end in the same base, trained on ordinary text too.
 
@@ -38,10 +38,10 @@ from .common import fresh, give_back, small_batches
 
 #: At most so many labelled texts of each class are learned from, and so many characters of them.
 SAMPLE, SAMPLE_CHARS = 2500, 8_000_000
-#: Least bytes of a window, and about how far on the next one starts.
-WINDOW, STEP = 16, 8
+#: Least bytes of a window; it ends with the word that reaches them, or at twice as many.
+WINDOW = 24
 #: Bytes of the common base, and of each part of the toxic dictionary.
-BASE, PART = 65536, 1024
+BASE, PART = 98304, 1024
 #: Parts of the toxic dictionary at most, and rounds of training for each.
 PARTS, ROUNDS = 8, 3
 #: Bytes of the segments that the trainer picks, for the base and for the parts.
@@ -58,7 +58,10 @@ THRESHOLDS = (3, 6, 9)
 #: Windows at a time: repeats are told inside of so many.
 BLOCK = 1 << 16
 WIDE = np.random.default_rng(7).integers(0, 256, (256, CODE), dtype=np.uint8)
-PARAMETERS = {"window_log": 20, "chain_log": 19, "hash_log": 17, "search_log": 8, "min_match": 3, "target_length": 128, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+NARROW = {x.tobytes(): i for i, x in enumerate(WIDE)}
+PARAMETERS = {"window_log": 20, "chain_log": 20, "hash_log": 17, "search_log": 5, "min_match": 3, "target_length": 8, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+#: While the toxic dictionary is trained, matches are looked for longer.
+THOROUGH = 128
 NO_WORD = re.compile(r"[\W_]+")
 
 
@@ -68,26 +71,30 @@ def plain(text: str) -> bytes:
 
 
 def windows(raw: bytes) -> Iterator[bytes]:
-    """Runs of whole words of a plain text; a very long word is cut. Every text has at least one window."""
-    at, last = 0, len(raw) - 1
+    """A plain text, coded, in runs of whole words that share the blank between them; a very long word is cut. Every text has at least one."""
+    coded, find, at, last = wide(raw), raw.find, 0, len(raw) - 1
     while True:
-        end = raw.find(b" ", at + WINDOW, at + 2 * WINDOW + 1)
+        end = find(b" ", at + WINDOW, at + 2 * WINDOW + 1)
         if end < 0:
             end = min(last, at + 2 * WINDOW)
-        yield raw[at : end + 1]
+        yield coded[CODE * at : CODE * end + CODE]
         if end >= last:
             return
-        following = raw.find(b" ", at + STEP, at + 2 * STEP + 1)
-        at = following if following > 0 else at + STEP
+        at = end
 
 
 def wide(raw: bytes) -> bytes:
     return WIDE[np.frombuffer(raw, np.uint8)].tobytes()
 
 
-def compressor(content: bytes):
+def narrow(coded: bytes) -> bytes:
+    """The text of a coded window."""
+    return bytes(map(NARROW.__getitem__, (coded[i : i + CODE] for i in range(0, len(coded), CODE))))
+
+
+def compressor(content: bytes, target: int | None = None):
     """Compresses coded windows with a dictionary, given uncoded."""
-    parameters = zstandard.ZstdCompressionParameters(**PARAMETERS)
+    parameters = zstandard.ZstdCompressionParameters(**PARAMETERS | ({"target_length": target} if target else {}))
     known = zstandard.ZstdCompressionDict(wide(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(compression_params=parameters, dict_data=known).compress
@@ -114,7 +121,7 @@ def _pair(ordinary: bytes, toxic: bytes) -> tuple:
 
 def distances(found: list[bytes], long, short) -> np.ndarray:
     """How many bytes shorter each window is with ``short`` than with ``long``."""
-    return np.array([len(long(w)) - len(short(w)) for w in map(wide, found)], np.int64)
+    return np.array([len(long(w)) - len(short(w)) for w in found], np.int64)
 
 
 def histogram(text: str, long, short) -> np.ndarray:
@@ -159,11 +166,11 @@ def _toxic_part(texts: list[list[bytes]], known: bytes, long, ordinary: list[byt
     halves = [list(dict.fromkeys(w for ws in texts[i::2] for w in ws)) for i in (0, 1)]
     picked = halves
     for _ in range(ROUNDS):
-        shorts = [compressor(_trained(p, PART, SEGMENT) + known) for p in picked]
+        shorts = [compressor(_trained(list(map(narrow, p)), PART, SEGMENT) + known, THOROUGH) for p in picked]
         least = max(1.0, float(np.percentile(distances(ordinary, long, shorts[0]), SELECT)))
         beyond = [[w for w, d in zip(half, distances(half, long, short), strict=True) if d > least] for half, short in zip(halves, reversed(shorts), strict=True)]
         picked = [b or half for b, half in zip(beyond, halves, strict=True)]
-    return _trained([*picked[0], *picked[1]], PART, SEGMENT)
+    return _trained([narrow(w) for p in picked for w in p], PART, SEGMENT)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -195,16 +202,17 @@ def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> De
     random.Random(2).shuffle(rest)
     cut = max(1, min(MEASURED, len(rest) // 2))
     measured = rest[:cut]
-    own = _trained(rest[cut:], PARTS * PART, SEGMENT) + base
-    long, known, left = compressor(own), base, bad
+    own = _trained(list(map(narrow, rest[cut:])), PARTS * PART, SEGMENT) + base
+    long, known, left = compressor(own, THOROUGH), base, bad
     for _ in range(PARTS):
         known = _toxic_part(left, known, long, measured) + known
-        short = compressor(known)
+        short = compressor(known, THOROUGH)
         beyond = np.percentile(distances(measured, long, short), ENOUGH)
         left = [ws for ws in left if (distances(list(dict.fromkeys(ws)), long, short) > beyond).sum() < 2]
         if len(left) < 6:
             break
     # Calibration on the texts that no dictionary has seen.
+    long, short = compressor(own), compressor(known)
     counts = [np.array([histogram(t, long, short) for i, t in enumerate(c) if i % 3 == 0]) for c in (toxic, ordinary)]
     spread = [c.sum(axis=0) + 0.5 for c in counts]
     table = np.log(spread[0] / spread[0].sum()) - np.log(spread[1] / spread[1].sum())

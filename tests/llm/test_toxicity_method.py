@@ -30,18 +30,19 @@ def test_windows_hold_every_word_and_several_at_once():
     for _ in range(50):
         text = " ".join("x" * rng.choice((1, 3, 9, 20, 70)) + str(i) for i in range(rng.randint(0, 60)))
         raw = X.plain(text)
-        found = list(X.windows(raw))
+        found = [X.narrow(w) for w in X.windows(raw)]
+        assert b"".join([found[0], *(w[1:] for w in found[1:])]) == raw
         assert found and all(len(w) <= 2 * X.WINDOW + 1 for w in found)
         for word in raw.split():
-            if len(word) <= X.STEP:
+            if len(word) <= X.WINDOW // 2:
                 assert any(b" " + word + b" " in w for w in found), (word, found)
-    assert max(len(w.split()) for w in X.windows(X.plain("one two three four five six seven eight"))) > 2
+    assert max(len(w.split()) for w in map(X.narrow, X.windows(X.plain("one two three four five six seven eight")))) > 2
 
 
 def test_both_dictionaries_are_trained_and_differ_in_what_they_know(detector):
     assert all(w.encode() in detector.toxic for w in INSULTS) and not any(w.encode() in detector.ordinary for w in INSULTS)
     long, short = X.compressor(detector.ordinary), X.compressor(detector.toxic)
-    assert X.distances([b" bado vilescum rimu "], long, short)[0] > X.distances([b" bado teko rimu "], long, short)[0]
+    assert X.distances([X.wide(b" bado vilescum rimu ")], long, short)[0] > X.distances([X.wide(b" bado teko rimu ")], long, short)[0]
 
 
 def test_texts_not_learned_from(detector):
