@@ -39,11 +39,11 @@ from .common import fresh, give_back, small_batches
 #: At most so many labelled texts of each class are learned from, and so many characters of them.
 SAMPLE, SAMPLE_CHARS = 2500, 8_000_000
 #: Least bytes of a window; it ends with the word that reaches them, or at twice as many.
-WINDOW = 24
+WINDOW = 28
 #: Bytes of the common base, and of each part of the toxic dictionary.
 BASE, PART = 98304, 1024
 #: Parts of the toxic dictionary at most, and rounds of training for each.
-PARTS, ROUNDS = 8, 3
+PARTS, ROUNDS = 6, 2
 #: Bytes of the segments that the trainer picks, for the base and for the parts.
 BASE_SEGMENT, SEGMENT = 64, 24
 CODE = 3
@@ -61,7 +61,7 @@ WIDE = np.random.default_rng(7).integers(0, 256, (256, CODE), dtype=np.uint8)
 NARROW = {x.tobytes(): i for i, x in enumerate(WIDE)}
 PARAMETERS = {"window_log": 20, "chain_log": 20, "hash_log": 17, "search_log": 5, "min_match": 3, "target_length": 8, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 #: While the toxic dictionary is trained, matches are looked for longer.
-THOROUGH = 128
+THOROUGH = 32
 NO_WORD = re.compile(r"[\W_]+")
 
 
