@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary one is made.
+    Only where that is unset on a local master (tests on one machine) a temporary one is made; on a
+    cluster, whose machines would each write to their own disk, that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = Path(tempfile.mkdtemp(prefix="graphloom-")).as_uri()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from .lineage import checkpointed
 
 
-def global_lag_and_sum(rows: DataFrame, order: str, value: str, partitions: int = 64) -> DataFrame:
+def global_lag_and_sum(rows: DataFrame, order: str, value: str) -> DataFrame:
     """Adds starts (the value differs from the row before) and run (the running sum of starts).
 
-    ``order`` is unique. What crosses a partition's edge is its last value and its number of starts:
+    ``order`` is unique. There are as many ranges as the session has shuffle partitions, so their size
+    is the session's choice as for any sort. What crosses a partition's edge is its last value and its number of starts:
     one row a partition, the only rows that meet in one window.
     """
-    parted = checkpointed(rows.repartitionByRange(partitions, order).withColumn("part", F.spark_partition_id()))
+    parted = checkpointed(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
     w = Window.partitionBy("part").orderBy(order)
     marked = parted.withColumn("before", F.lag(value).over(w)).withColumn("n", F.row_number().over(w))
     edges = parted.groupBy("part").agg(F.max_by(value, order).alias("last_value"), F.max(order).alias("last_order"))

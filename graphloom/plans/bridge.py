@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.triples import TRIPLE, serialize
 from ..operators.dedup import merge_global
 from ..operators.joins import localize
+from ..operators.lineage import checkpointed
 from ..operators.selection import hash_sample
 
 RATE, SEED = 0.25, 42
@@ -36,9 +37,9 @@ def kg_merged(triples: DataFrame) -> DataFrame:
 
 
 def graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all triples of documents, private, public) of every record."""
-    triples = kg_triples(spark, sf_dir)
-    merged = kg_merged(triples)
+    """(all triples of documents, private, public) of every record; both are read from one written copy by all that follows."""
+    triples = checkpointed(kg_triples(spark, sf_dir))
+    merged = checkpointed(kg_merged(triples))
     return triples, merged.where("sampled").drop("sampled"), merged.where("not sampled").drop("sampled")
 
 
@@ -49,7 +50,11 @@ def rewritten(triples: DataFrame) -> DataFrame:
 
 def local_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec, ctx_pos, public, private: arrays of structs of each document's own triples, in order."""
-    triples, private, public = graphs(spark, sf_dir)
+    return lists_of(*graphs(spark, sf_dir))
+
+
+def lists_of(triples: DataFrame, private: DataFrame, public: DataFrame) -> DataFrame:
+    """local_lists of graphs that are there already."""
     rows = localize(triples, public).withColumn("pub", F.lit(True)).unionByName(localize(triples, private).withColumn("pub", F.lit(False)))
     item = F.struct("t_pos", F.struct("h", "r", "t").cast(TRIPLE).alias("x"))
     pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, item))), lambda y: y["x"])
@@ -76,10 +81,10 @@ def sft_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rl_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line, value): records with their contexts as JSON text, some of them broken on purpose."""
-    _, private, public = graphs(spark, sf_dir)
+    triples, private, public = graphs(spark, sf_dir)
     raw = lambda name, df: df.groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h", "r", "t"))), lambda x: F.array(x["h"], x["r"], x["t"])).alias(name))
     tag = lambda c: F.transform(c, lambda x: serialize(x))
-    docs = local_lists(spark, sf_dir)
+    docs = lists_of(triples, private, public)
     rec, pos = F.col("rec"), F.col("ctx_pos")
     ctx = F.struct("ctx_pos", F.struct(F.when((rec % 40 == 1) & (pos == 1), F.lit("0")).otherwise(pos.cast("string")).alias("id"), F.when((rec % 40 == 2) & (pos == 0), F.lit("")).otherwise(F.lit("text")).alias("text"), tag(F.col("public")).alias("public"), tag(F.col("private")).alias("private")).alias("c"))
     ctxs = docs.groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(ctx)), lambda x: x["c"]).alias("ctxs"))

@@ -214,9 +214,8 @@ def train_eval_split(spark, d):
 
 @query
 def exclude_questions(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
-    held = docs.where("doc_id % 3 = 0 and source in ('src0', 'src3')").select(F.upper("source").alias("s"))
-    return selection.exclude_keys(docs, "source", held, "s").select("doc_id", "source")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return selection.exclude_keys(docs, "text", table(spark, d, "benchmark"), "text").select("doc_id", "source")
 
 
 @query

@@ -75,7 +75,7 @@ def prompts(kind: str, prefix: bool) -> str:
 BASE = f"WITH {KG}"
 FULL = f"WITH RECURSIVE {KG}, {DEDUP}"
 LOC = f"WITH RECURSIVE {KG}, {DEDUP}, {LOCAL}"
-QUESTION = r"lower(trim(regexp_replace(text[1:12], '[\x09-\x0d\x1c-\x20]+', ' ', 'g')))"
+QUESTION = r"lower(trim(regexp_replace(text, '[\x09-\x0d\x1c-\x20]+', ' ', 'g')))"
 
 
 def unique(seed: int, n: int) -> str:
@@ -112,7 +112,7 @@ ORACLES: dict[str, str] = {
     "first_map_wins": "SELECT conv_id, role AS key, turn AS value, pos FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS pos FROM conversations) QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY pos) = 1",
     "select_unique": f"{unique(42, 50)} SELECT rank, key, priority, \"index\" FROM x WHERE rank <= 50",
     "train_eval_split": f"{unique(43, 60)} SELECT rank, \"index\", CASE WHEN rank <= 40 THEN 'train' ELSE 'eval' END AS split FROM x WHERE rank <= 60",
-    "exclude_questions": "SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 3 = 0 AND source IN ('src0', 'src3'))",
+    "exclude_questions": f"SELECT doc_id, source FROM documents WHERE coalesce({QUESTION} NOT IN (SELECT {QUESTION} FROM benchmark WHERE text IS NOT NULL), TRUE)",
     "hash_sample": f"{FULL} SELECT rec, pos, sampled FROM drawn",
     "topk_contexts": "SELECT conv_id, turn, CAST(turn AS VARCHAR) AS id FROM conversations WHERE turn % 3 <> 1 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2",
     "shard_ranges": "SELECT CAST(floor(doc_id / 250) AS BIGINT) AS shard, min(doc_id) AS start, count(*) AS count FROM documents GROUP BY 1",
@@ -121,7 +121,7 @@ ORACLES: dict[str, str] = {
     "localize": f"{LOC} SELECT rec, ctx_pos, t_pos, h, r, t FROM ls",
     "localized_lists": f"{LOC} SELECT rec, ctx_pos, string_agg({neutral()}, '' ORDER BY t_pos) AS items FROM lp GROUP BY ALL",
     "edge_anti_join": f"{FULL} SELECT rec, count(*) AS n FROM kg WHERE NOT EXISTS (SELECT 1 FROM pri WHERE pri.rec = kg.rec AND pri.h = kg.h AND pri.t = kg.t) GROUP BY rec",
-    "qa_pairs": "SELECT c_nationkey AS rec, c_name AS entity, s_name AS answer FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 20 = 0 AND c_custkey % 9 <> 0",
+    "qa_pairs": "SELECT c_nationkey AS rec, c_name AS entity, s_name AS answer FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 9 <> 0",
     "relation_tail_conflict": f"{FULL} SELECT DISTINCT rec, h, r, t FROM pub WHERE EXISTS (SELECT 1 FROM pri p WHERE p.rec = pub.rec AND p.r = pub.r AND p.t = pub.t AND {ALIKE.format('p.h', 'pub.h')})",
     "log_merge": f"SELECT event_id + 1 AS step, CAST({LOGP} AS BIGINT) AS p, {STAMP} AS reward_timestamp, CAST({n1000(7)} AS DOUBLE) AS mean_reward, CAST({n1000(11)} AS DOUBLE) AS mean_r_pub, CAST({n1000(13)} AS DOUBLE) AS mean_r_pri, CAST(1e-05 AS DOUBLE) AS learning_rate, {STAMP} AS update_timestamp, CAST({n1000(17)} AS DOUBLE) AS update_seconds, -CAST({n1000(19)} AS DOUBLE) AS kl FROM events",
     "log_regex": f"SELECT event_id * 2 AS line, event_id + 1 AS step, CAST(NULL AS DOUBLE) AS kl FROM events UNION ALL SELECT event_id * 2 + 1, event_id + 1, -CAST({n1000(19)} AS DOUBLE) FROM events",
