@@ -24,9 +24,10 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ THRESHOLDS = (3, 6, 9)
 BLOCK = 1 << 16
 WIDE = np.random.default_rng(7).integers(0, 256, (256, CODE), dtype=np.uint8)
 NARROW = {x.tobytes(): i for i, x in enumerate(WIDE)}
-PARAMETERS = {"window_log": 20, "chain_log": 20, "hash_log": 17, "search_log": 5, "min_match": 3, "target_length": 8, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+PARAMETERS = {"window_log": 20, "chain_log": 20, "hash_log": 17, "search_log": 5, "min_match": 3, "target_length": 6, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 #: While the toxic dictionary is trained, matches are looked for longer.
 THOROUGH = 32
 NO_WORD = re.compile(r"[\W_]+")
@@ -119,27 +120,17 @@ def _pair(ordinary: bytes, toxic: bytes) -> tuple:
     return compressor(ordinary), compressor(toxic)
 
 
-def distances(found: list[bytes], long, short) -> np.ndarray:
+def distances(found: Iterable[bytes], long, short) -> np.ndarray:
     """How many bytes shorter each window is with ``short`` than with ``long``."""
     return np.array([len(long(w)) - len(short(w)) for w in found], np.int64)
 
 
 def histogram(text: str, long, short) -> np.ndarray:
     """How many windows have each distance from -TOP to TOP; the n-fold repeat of a window weighs 1 + log n."""
-    total, block, room = np.zeros(2 * TOP + 1), Counter(), BLOCK
-
-    def add() -> None:
-        found = np.clip(distances(list(block), long, short), -TOP, TOP) + TOP
-        total[:] += np.bincount(found, 1 + np.log(np.fromiter(block.values(), float, len(block))), 2 * TOP + 1)
-
-    for w in windows(plain(text)):
-        block[w] += 1
-        room -= 1
-        if not room:
-            add()
-            block, room = Counter(), BLOCK
-    if block:
-        add()
+    total, found = np.zeros(2 * TOP + 1), windows(plain(text))
+    while block := Counter(islice(found, BLOCK)):
+        places = np.clip(distances(block, long, short), -TOP, TOP) + TOP
+        total += np.bincount(places, 1 + np.log(np.fromiter(block.values(), float, len(block))), 2 * TOP + 1)
     return total
 
 
