@@ -177,6 +177,12 @@ def question_of(qa: Column, question: Column) -> Column:
     return F.coalesce(F.try_element_at(qa, F.lit(1))["question"], question)
 
 
+def with_question(records: DataFrame, qa: str = "qa", question: str = "question") -> DataFrame:
+    """The records with the question to ask in ``question``; those whose qa list is there but empty go."""
+    there = records.where(F.col(qa).isNull() | (F.size(qa) > 0))
+    return there.withColumn(question, question_of(F.col(qa), F.col(question)))
+
+
 def rewritten(records: DataFrame, rewrites: Column) -> DataFrame:
     """The records with rewrites in place with their contexts; another number is an error."""
     return records.withColumn("anonymized_ctxs", F.when(F.size(rewrites) != F.size("ctxs"), F.raise_error(F.lit("rewrites and contexts differ in number"))).otherwise(rewrites))

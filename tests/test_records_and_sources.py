@@ -178,3 +178,17 @@ def test_models(spark):
         models.extract(df, "text", ["i"], lambda: lambda texts: []).collect()
     slow = models.resolve(df, "text", lambda: lambda texts: ["changed"] * len(texts), seconds=-1.0).orderBy("i").collect()
     assert slow[0].text.startswith("Ada") and slow[0].timed_out
+
+
+def test_first_qa_item_asks_and_empty_lists_go(spark):
+    rows = [(1, [("q1", "a"), ("q2", "b")], "own"), (2, [], "own"), (3, None, "own"), (4, [(None, "a")], "own")]
+    df = spark.createDataFrame(rows, "rec long, qa array<struct<question:string,answer:string>>, question string")
+    assert {r.rec: r.question for r in records.with_question(df).collect()} == {1: "q1", 3: "own", 4: "own"}
+
+
+def test_words_for_true_and_false(spark):
+    from graphloom.functions import scalars
+
+    words = {"1": True, "true": True, "T": True, " t ": True, "yes": True, "y": True, "on": True, "0": False, "False": False, "f": False, "no": False, "N": False, "off": False, "": None, "maybe": None, "tt": None}
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string")
+    assert {r.w: r.b for r in df.select("w", scalars.as_bool(df.w).alias("b")).collect()} == words | {None: None}
