@@ -5,6 +5,9 @@ A triple's parts are non-empty, hold no tag, and have runs of white space writte
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,9 +37,23 @@ def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+@cache
+def _folds() -> dict[str, str]:
+    """Characters whose casefold is not their lower case; sigma too, whose lower case depends on its place."""
+    return {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c == "\u03a3" or c.casefold() != c.lower()}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: lower case, but for texts with a character that folds otherwise, which are folded one by one."""
+    folds = _folds()
+    table = F.create_map(*(F.lit(x) for pair in folds.items() for x in pair))
+    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
+    return F.when(F.regexp_like(text, F.lit("[" + "".join(rf"\x{{{ord(c):x}}}" for c in folds) + "]")), F.array_join(each, "")).otherwise(F.lower(text))
+
+
 def question_key(text: Column) -> Column:
     """Case and white space do not tell questions apart."""
-    return F.lower(collapse(text))
+    return casefold(collapse(text))
 
 
 def part_ok(text: Column) -> Column:

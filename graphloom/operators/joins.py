@@ -91,6 +91,36 @@ def not_in_global(local: Column, whole: Column) -> Column:
     return F.size(F.array_except(local, whole))
 
 
+def mismatch_rows(predicted: DataFrame, reference: DataFrame, keys: list[str], scope: str = "rec") -> DataFrame:
+    """(scope, kind, keys): what each scope lacks of the reference (missing) and has beyond it (extra), one row each.
+
+    One aggregation over both sides; a sink sorts the rows.
+    """
+    sides = predicted.select(scope, *keys, F.lit("extra").alias("kind")).unionByName(reference.select(scope, *keys, F.lit("missing").alias("kind")))
+    return sides.groupBy(scope, *keys).agg(F.min("kind").alias("kind"), F.max("kind").alias("_other")).where(F.col("kind") == F.col("_other")).select(scope, "kind", *keys)
+
+
+def reuse_status(source: DataFrame, output: DataFrame, index: str) -> DataFrame:
+    """(index, status): whether records that were written before still fit their source.
+
+    Both sides have the index, id and ctxs as VARIANT lists of contexts: ok, no_partner, other_id, no_list,
+    other_count, or bad_text where an output context is no object with a string as its text.
+    """
+    out = output.select(F.col(index).alias("_index"), F.col("id").alias("_id"), F.col("ctxs").alias("_ctxs"))
+    both = source.select(index, "id", "ctxs").join(out, F.col(index) == F.col("_index"), "full_outer")
+    items = lambda c: F.try_variant_get(c, "$", "array<variant>")
+    text = lambda v: F.schema_of_variant(F.try_variant_get(v, "$.text", "variant")) == "STRING"
+    status = (
+        F.when(F.col(index).isNull() | F.col("_index").isNull(), "no_partner")
+        .when(~F.col("id").eqNullSafe(F.col("_id")), "other_id")
+        .when(items("ctxs").isNull() | items("_ctxs").isNull(), "no_list")
+        .when(F.size(items("ctxs")) != F.size(items("_ctxs")), "other_count")
+        .when(~F.coalesce(F.forall(items("_ctxs"), lambda v: F.coalesce(text(v), F.lit(False))), F.lit(False)), "bad_text")
+        .otherwise("ok")
+    )
+    return both.select(F.coalesce(index, "_index").alias(index), status.alias("status"))
+
+
 def overlap_count(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """In how many keys two tables overlap."""
     return a.select(*keys).distinct().join(b.select(*keys).distinct(), keys, "left_semi").agg(F.count("*").alias("n"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +32,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A copy in the shared folder, computed now and once."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A new folder in the shared one, removed at the end; what is read from it has to be computed before."""
+    folder = f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -79,6 +79,11 @@ def phases(rows: DataFrame, phase: str, step: str, values: tuple[str, ...]) -> D
     return rows.rollup(phase).agg(F.min(step).alias("first_step"), F.max(step).alias("last_step"), F.count("*").alias("n"), *(F.avg(v).alias(f"mean_{v}") for v in values))
 
 
+def batch_means(rows: DataFrame, index: str, size: int, values: tuple[str, ...]) -> DataFrame:
+    """(batch, n, mean_...) of batches of ``size`` numbered rows, the last one possibly smaller; for rewards and for seconds."""
+    return rows.groupBy(F.floor(F.col(index) / size).cast("long").alias("batch")).agg(F.count("*").alias("n"), *(F.avg(v).alias(f"mean_{v}") for v in values))
+
+
 def tail_multimap(triples: DataFrame, rec: str = "rec") -> DataFrame:
     """For each tail the distinct (head, relation) pairs."""
     return triples.groupBy(rec, "t").agg(F.array_sort(F.collect_set(F.struct("h", "r"))).alias("pairs"))

@@ -7,8 +7,11 @@ many results. Empty texts never reach it.
 from __future__ import annotations
 
 import re
+import signal
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,8 +58,54 @@ def identity_resolver() -> Rewriter:
     return list
 
 
+class Late(BaseException):
+    """A call went beyond its time; no handler of ordinary errors inside the model catches it."""
+
+
+@contextmanager
+def time_budget(seconds: float) -> Iterator[None]:
+    """Ends what runs inside by Late once the time is over.
+
+    By the process's timer, so on the main thread of a worker, where Spark runs functions. On another thread, or
+    where there is no such timer, Late comes when the call has ended. A native call that never returns to the
+    interpreter is interrupted only when it does.
+    """
+    if seconds <= 0:
+        raise Late
+    began = time.monotonic()
+    timed = hasattr(signal, "setitimer") and threading.current_thread() is threading.main_thread()
+
+    def stop(*_) -> None:
+        raise Late
+
+    before = signal.signal(signal.SIGALRM, stop) if timed else None
+    try:
+        if timed:
+            signal.setitimer(signal.ITIMER_REAL, seconds)
+        yield
+    finally:
+        if timed:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+    if time.monotonic() - began > seconds:
+        raise Late
+
+
+def resolved_tokens(tokens: Sequence[str], spans: Sequence[tuple[int, int]], chains: dict[int, list[int]]) -> str:
+    """Tokens, each after a space; one that refers to others gives way to them, joined by " and ".
+
+    spans: entities as (first token, end); a representative inside of one stands as the whole entity.
+    """
+    cover: dict[int, str] = {}
+    for a, b in spans:
+        for i in range(a, b):
+            cover.setdefault(i, " ".join(tokens[a:b]))
+    named = lambda i: " and ".join(cover.get(j, tokens[j]) for j in chains[i])
+    return "".join(" " + (named(i) if chains.get(i) else x) for i, x in enumerate(tokens))
+
+
 def resolve(rows: DataFrame, text: str, factory: Callable[[], Rewriter] = identity_resolver, seconds: float = 120.0) -> DataFrame:
-    """Replaces a text by its resolved form and adds timed_out; a text that takes too long stays as it was."""
+    """Replaces a text by its resolved form and adds timed_out; a text that takes longer is interrupted and stays as it was."""
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), "timed_out boolean"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,10 +113,14 @@ def resolve(rows: DataFrame, text: str, factory: Callable[[], Rewriter] = identi
         for pdf in batches:
             texts, late = [], []
             for x in pdf[text]:
-                began = time.monotonic()
-                done = model([x])[0] if isinstance(x, str) and x.strip() else x
-                over = time.monotonic() - began > seconds
-                texts.append(x if over else done)
+                done, over = x, False
+                if isinstance(x, str) and x.strip():
+                    try:
+                        with time_budget(seconds):
+                            done = model([x])[0]
+                    except Late:
+                        done, over = x, True
+                texts.append(done)
                 late.append(over)
             yield pdf.assign(**{text: texts, "timed_out": late})
 

@@ -107,11 +107,6 @@ def answers_exact(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf(StringType())
-def casefold(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: x.casefold() if isinstance(x, str) else None)
-
-
 @F.pandas_udf(StringType())
 def as_json(values: pd.Series) -> pd.Series:
     """Mapping texts in Python's notation as JSON; others as they are. Run before parse_document() where both occur."""

@@ -71,6 +71,20 @@ def seeded_sample(rows: DataFrame, index: str, total: int, k: int, seed: int = 4
     return found.orderBy("draw") if keep_order else found.orderBy(index).drop("draw")
 
 
+def shared_samples(sizes: list[int], share: float, seed: int = 42, most: int | None = None) -> list[list[int]]:
+    """For files of these sizes the positions drawn in order by one generator that all files share.
+
+    A share of one takes a file as it is and draws nothing; ``most`` ends the whole list.
+    """
+    drawn, generator, left = [], random.Random(seed), most
+    for n in sizes:
+        picked = list(range(n)) if share == 1.0 else generator.sample(range(n), int(n * share))
+        if left is not None:
+            picked, left = picked[:left], max(left - len(picked), 0)
+        drawn.append(picked)
+    return drawn
+
+
 def first_contexts(ctxs: DataFrame, k: int, rec: str = "rec", pos: str = "ctx_pos", key: str = "ctx_id") -> DataFrame:
     """The first k contexts of each record that have an id."""
     nth = F.count(key).over(Window.partitionBy(rec).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
@@ -83,9 +97,14 @@ def shards(rows: DataFrame, index: str, size: int) -> DataFrame:
 
 
 def hash_split(rows: DataFrame, key: Column, share: float, seed: int = 42) -> DataFrame:
-    """A random split by hash: split is validation for about ``share`` of the keys."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000
-    return rows.withColumn("split", F.when(bucket < share, "validation").otherwise("train"))
+    """A random split by hash: split is validation for about ``share`` of the keys, and of two keys or more at least one a side.
+
+    The smallest hash is always validation, the largest train; one key alone is train. Only the two extremes meet the rows.
+    """
+    marked = rows.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256))
+    ends = marked.agg(F.min("_h").alias("_first"), F.max("_h").alias("_last"))
+    below = F.substring("_h", 1, 8) < f"{int(share * 16**8):08x}"
+    return marked.crossJoin(F.broadcast(ends)).withColumn("split", F.when((F.col("_h") < F.col("_last")) & ((F.col("_h") == F.col("_first")) | below), "validation").otherwise("train")).drop("_h", "_first", "_last")
 
 
 def chunks(rows: DataFrame, index: str, size: int) -> DataFrame:

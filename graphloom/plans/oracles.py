@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from ..functions.triples import SPACE_RANGES
 from ..functions.scalars import ANSWER_MARK, TASK_REWRITE, TASK_TRAIN
 
@@ -75,7 +77,7 @@ def prompts(kind: str, prefix: bool) -> str:
 BASE = f"WITH {KG}"
 FULL = f"WITH RECURSIVE {KG}, {DEDUP}"
 LOC = f"WITH RECURSIVE {KG}, {DEDUP}, {LOCAL}"
-QUESTION = r"lower(trim(regexp_replace(text, '[\x09-\x0d\x1c-\x20]+', ' ', 'g')))"
+QUESTION = r"replace(lower(trim(regexp_replace(text, '[\x09-\x0d\x1c-\x20]+', ' ', 'g'))), 'ß', 'ss')"
 
 
 def unique(seed: int, n: int) -> str:
@@ -169,3 +171,18 @@ SELECT (SELECT count(*) FROM e) AS query_count, count(*) FILTER (WHERE m <> 4) A
     "answers_distinct": "WITH f AS (SELECT user_id, event_type, arg_min(event_id % 2, event_id) AS odd, min(event_id) AS i FROM events GROUP BY ALL) SELECT user_id, string_agg(CASE WHEN odd = 0 THEN upper(event_type) ELSE event_type END, ',' ORDER BY i) AS answers FROM f GROUP BY user_id",
     "coref_identity": "SELECT conv_id, turn, sha256(text) AS digest, FALSE AS timed_out FROM conversations",
 }
+
+
+def positions(sizes: tuple[int, ...], share: int, seed: int) -> str:
+    """The positions that the standard generator draws, for tables of these sizes."""
+    return "CASE (SELECT count(*) FROM documents) " + " ".join(f"WHEN {n} THEN {random.Random(seed).sample(range(n), share)}" for n in sizes) + " END"
+
+
+NAMES = "[A-Z][\\w''-]*(?: [A-Z][\\w''-]*)*"
+ORACLES |= {
+    "seeded_sample": f"SELECT doc_id FROM documents WHERE list_contains({positions((200, 1000, 10_000), 20, 42)}, doc_id)",
+    "question_entities": rf"SELECT item_id, sum(coalesce(len(list_distinct(regexp_extract_all(regexp_replace(text, '\A(?:Who|What|When|Where|Which|Whose|Whom|Why|How|Is|Are|Was|Were|Did|Does|Do|In|On|The)\b', ''), '{NAMES}'))), 0))::BIGINT AS n FROM benchmark GROUP BY item_id",
+    "template_rewrite": f"""{LOC}, x AS (SELECT rec, ctx_pos, coalesce(string_agg(h || ' ' || r || ' ' || t, '. ' ORDER BY t_pos) FILTER (WHERE NOT p), '') AS text,
+  coalesce(list(t || chr(1) || '[' || r || ']' ORDER BY t_pos) FILTER (WHERE NOT p), []) AS swaps FROM ll GROUP BY rec, ctx_pos)
+SELECT rec, ctx_pos, sha256(list_reduce(swaps, lambda a, s: replace(a, split_part(s, chr(1), 1), split_part(s, chr(1), 2)), text)) AS digest FROM x""",
+}

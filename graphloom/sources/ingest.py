@@ -59,7 +59,7 @@ def text_lines(spark: SparkSession, path: str, blanks: str = "skip", name: str =
 def json_lines(spark: SparkSession, path: str, blanks: str = "skip", bad: str = "error", limit: int | None = None, start: int = 0) -> DataFrame:
     """(line, rec, v): JSON lines as VARIANT; rec numbers those that are emitted, from 0.
 
-    ``bad="error"`` fails on what is not an object, with its line; ``bad="null"`` gives it as null.
+    ``bad="error"`` fails on what is not an object, with its line; ``bad="null"`` gives what is no JSON as null and other values as they are.
     ``start`` and ``limit`` cut by rec.
     """
     rows = numbered(text_lines(spark, path, blanks, keep_split=True), "rec", "line", SPLIT).withColumn("v", F.try_parse_json("value"))

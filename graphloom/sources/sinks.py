@@ -17,8 +17,9 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", order: str | None = None) -> None:
+    """Part files with a header each; with an order they form one curve in order of their names."""
+    (df.orderBy(order) if order else df).write.mode(mode).option("header", True).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from graphloom.plans import catalogue, oracles
+from graphloom.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -27,13 +27,13 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_against_sql(spark, db, tiny, name):
-    df = catalogue.QUERIES[name](spark, tiny)
+    df = registry.QUERIES[name](spark, tiny)
     cols = sorted(df.columns)
     got = plain(df.select(*cols).collect())
-    if name in oracles.ORACLES:
-        cur = db.execute(oracles.ORACLES[name])
+    if name in registry.ORACLES:
+        cur = db.execute(registry.ORACLES[name])
         names = [d[0] for d in cur.description]
         assert sorted(names) == cols
         order = [names.index(c) for c in cols]
