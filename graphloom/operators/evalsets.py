@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, edges_of, reachable
+from .graph import LARGEST, UnionFind, components, edges_of, reachable
 from .joins import edge_difference
 from .lineage import checkpointed
 
@@ -28,20 +32,140 @@ def special_records(public: DataFrame, private: DataFrame, least: int = 2, rec:
     return special_contexts(public, private, rec, ctx).groupBy(rec).agg(F.count("*").alias("special")).where(F.col("special") >= least)
 
 
-def inference_open(local: DataFrame, private: DataFrame, whole: DataFrame, rec: str = "rec", ctx: str = "ctx_pos") -> DataFrame:
+def connected_without(n: int, edges: list[tuple[int, int, list[int]]], asked: list[list[tuple[int, list[int], int]]]) -> set[int]:
+    """Keys of the questions that a graph of n nodes answers with yes, each without the edges of its place.
+
+    edges: (a, b, places at which the edge is missing). asked: for each place (start, goals, key); yes if the
+    start is connected with any goal. An edge holds in the runs of places between those where it is missing; a
+    tree over the places keeps each run in a few nodes, and a walk down the tree joins and takes back. So the
+    work grows with the edges and their gaps, not with edges times places.
+    """
+    spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    up, size, found = list(range(n)), [1] * n, set()
+
+    def put(lo: int, hi: int, a: int, b: int, edge: tuple[int, int]) -> None:
+        if a <= lo and hi <= b:
+            spans[lo, hi].append(edge)
+        elif a < hi and lo < b:
+            mid = (lo + hi) // 2
+            put(lo, mid, a, b, edge)
+            put(mid, hi, a, b, edge)
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def walk(lo: int, hi: int) -> None:
+        joined = []
+        for a, b in spans.get((lo, hi), ()):
+            a, b = find(a), find(b)
+            if a != b:
+                a, b = (a, b) if size[a] >= size[b] else (b, a)
+                up[b] = a
+                size[a] += size[b]
+                joined.append((a, b))
+        if hi - lo == 1:
+            for start, goals, key in asked[lo]:
+                root = find(start)
+                if any(find(g) == root for g in goals):
+                    found.add(key)
+        else:
+            mid = (lo + hi) // 2
+            walk(lo, mid)
+            walk(mid, hi)
+        for a, b in reversed(joined):
+            up[b] = b
+            size[a] -= size[b]
+
+    if asked:
+        for a, b, gaps in edges:
+            at = 0
+            for g in [*sorted(gaps), len(asked)]:
+                if at < g:
+                    put(0, len(asked), at, g, (a, b))
+                at = g + 1
+        walk(0, len(asked))
+    return found
+
+
+def open_edges(edges: list[tuple[str, str, bool, list]]) -> Iterator[tuple[object, str, str]]:
+    """(ctx, h, t) open to inference in one record; edges are (h, t, private, contexts that hold the edge)."""
+    names = list(dict.fromkeys(x for h, t, *_ in edges for x in (h, t)))
+    number = {x: i for i, x in enumerate(names)}
+    whole = {True: UnionFind(), False: UnionFind()}
+    for h, t, private, _ in edges:
+        whole[private].join(h, t)
+    members: dict[bool, dict[str, list[str]]] = {k: defaultdict(list) for k in whole}
+    for k, sets in whole.items():
+        for x in list(sets.up):
+            members[k][sets.find(x)].append(x)
+    places: dict[object, int] = {}
+    asked: dict[bool, list[list]] = {True: [], False: []}
+    questions = []
+    for h, t, private, ctxs in edges:
+        if not private or not ctxs or h in t or t in h or h not in whole[False].up:
+            continue
+        goals = {k: [number[x] for x in members[k][whole[k].find(h)] if x in t or t in x] for k in whole}
+        if not goals[False]:
+            continue
+        for ctx in ctxs:
+            at = places.setdefault(ctx, len(places))
+            for k in whole:
+                if at == len(asked[k]):
+                    asked[k].append([])
+                asked[k][at].append((number[h], goals[k], len(questions)))
+            questions.append((ctx, h, t))
+    gaps = lambda ctxs: [places[c] for c in ctxs if c in places]
+    answer = {k: connected_without(len(names), [(number[h], number[t], gaps(ctxs)) for h, t, p, ctxs in edges if p == k], asked[k]) for k in whole}
+    return (questions[i] for i in sorted(answer[False] - answer[True]))
+
+
+def inference_open(local: DataFrame, private: DataFrame, whole: DataFrame, rec: str = "rec", ctx: str = "ctx_pos", largest: int = LARGEST) -> DataFrame:
     """Private edges of documents that the other documents' public graph gives away.
 
     (rec, ctx, h, t) of local private edges which the record's private edges outside of the document
     do not connect while its other public edges outside of it do. local: triples of documents;
-    private and whole: the record's private and all triples.
+    private and whole: the record's private and all triples. A null end is in no graph and asks nothing.
+
+    A record of at most ``largest`` edges is judged in one task, with each edge once beside the documents
+    that hold it. Larger ones are judged by joins over all tasks, where each document has its own graph.
+    """
+    edge = [rec, "h", "t"]
+    there = lambda df: df.where("h is not null and t is not null")
+    local = checkpointed(there(local).select(rec, ctx, "h", "r", "t").distinct())
+    private = checkpointed(there(private).select(rec, "h", "r", "t").distinct())
+    mine = local.join(private, [rec, "h", "r", "t"], "left_semi").select(rec, ctx, "h", "t").distinct()
+    public = edge_difference(there(whole).select(*edge).distinct(), private, edge)
+    holds = lambda df: df.groupBy(*edge).agg(F.collect_set(ctx).alias("ctxs"))
+    rows = public.join(holds(local.select(rec, ctx, "h", "t")), edge, "left").withColumn("private", F.lit(False))
+    rows = checkpointed(rows.unionByName(private.select(*edge).distinct().join(holds(mine), edge, "left").withColumn("private", F.lit(True))))
+    giant = rows.groupBy(rec).agg(F.count("*").alias("n")).where(F.col("n") > largest).select(rec)
+    kinds = {f.name: f.dataType.simpleString() for f in local.schema.fields}
+
+    def judge(key: tuple, part: pa.Table) -> pa.Table:
+        columns = [part.column(c).to_pylist() for c in ("h", "t", "private", "ctxs")]
+        found = list(open_edges([(h, t, p, c or []) for h, t, p, c in zip(*columns, strict=True)]))
+        kind = part.schema.field("ctxs").type.value_type
+        by = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.table({rec: pa.repeat(key[0], len(found)), ctx: pa.array(by[0], kind), "h": pa.array(by[1], pa.string()), "t": pa.array(by[2], pa.string())})
+
+    ddl = f"{rec} {kinds[rec]}, {ctx} {kinds[ctx]}, h string, t string"
+    if giant.isEmpty():
+        return rows.groupBy(rec).applyInArrow(judge, ddl)
+    giant = checkpointed(giant)
+    small = rows.join(giant, rec, "left_anti").groupBy(rec).applyInArrow(judge, ddl)
+    big = lambda df: df.join(giant, rec, "left_semi")
+    return small.unionByName(_open_by_joins(big(local), big(mine), big(private), checkpointed(big(rows).where("not private").select(*edge)), rec, ctx))
+
+
+def _open_by_joins(local: DataFrame, mine: DataFrame, private: DataFrame, public: DataFrame, rec: str, ctx: str) -> DataFrame:
+    """inference_open() for records whose graph no task holds; public: the edges that are not private.
 
     A pair that not even the record's whole public graph connects is dropped before any graph of a
     single document is built.
     """
     edge = [rec, "h", "t"]
-    local, private = checkpointed(local.select(rec, ctx, "h", "r", "t").distinct()), checkpointed(private.select(rec, "h", "r", "t").distinct())
-    mine = local.join(private.select(*edge, "r").distinct(), [rec, "h", "r", "t"], "left_semi").select(rec, ctx, "h", "t").distinct()
-    public = checkpointed(edge_difference(whole.select(*edge).distinct(), private, edge))
     pairs = lambda x: x.select(rec, F.col("h").alias("a"), F.col("t").alias("b"))
     back = lambda x, *k: x.select(*k, F.col("a").alias("h"), F.col("b").alias("t"))
     likely = back(reachable(pairs(mine), components(edges_of(public, [rec]), [rec]), [rec]), rec)
