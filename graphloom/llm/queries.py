@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, line_dedup, packing, simhash, token_bpe, toxicity, url_filter, vptree
+from . import chat_format, exact_dedup, html_extract, line_dedup, ngram_join, packing, simhash, token_bpe, toxicity, url_filter, vptree
 from .common import table
 
 HOST = r"^[a-z]+://([^/?#:]+)"
@@ -156,6 +156,24 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM w),
+k AS (SELECT doc_id, s, len(s) AS n, md5(array_to_string(s, chr(10))) AS k FROM s),
+d AS (SELECT k, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY k),
+u AS (SELECT k, n, unnest(s) AS g FROM d),
+l AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.g = b.g AND a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(k, root) AS (SELECT k, k FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.k),
+c AS (SELECT k, min(root) AS root FROM r GROUP BY k),
+m AS (SELECT c.root, min(k.doc_id) AS component_id FROM k JOIN c USING (k) GROUP BY c.root)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id FROM k LEFT JOIN c USING (k) LEFT JOIN m ON m.root = c.root
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -167,5 +185,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_html_extract": op9_html_extract,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_ngram_join": op11_ngram_join,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op11_ngram_join": OP11_SQL}
