@@ -116,14 +116,14 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return h[order], rows.column("weight").to_numpy()[order].astype(np.uint8)
 
 
-def parity_sketch(hashes: np.ndarray) -> bytes:
-    """Bits that each hash turns over one of; as many as the next power of two that is not below the set's size, within ``BITS``."""
-    width = min(max(BITS[0], 1 << (len(hashes) - 1).bit_length()), BITS[1])
+def parity_sketch(hashes: np.ndarray, bits: tuple[int, int] = BITS) -> bytes:
+    """Bits that each hash turns over one of; as many as the next power of two that is not below the set's size, within ``bits``."""
+    width = min(max(bits[0], 1 << (len(hashes) - 1).bit_length()), bits[1])
     odd = np.bincount((_mixed(hashes) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def describe(docs: DataFrame, text_col: str, id_col: str, words: int, percent: int) -> DataFrame:
+def describe(docs: DataFrame, text_col: str, id_col: str, words: int, percent: int, bits: tuple[int, int] = BITS) -> DataFrame:
     """Per row: id, d (the text's digest), n (the set's size), s (the set's key), g (the group's), prefix and sketch."""
     small_batches(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("d"), F.col(text_col).alias("t"))
@@ -144,7 +144,7 @@ def describe(docs: DataFrame, text_col: str, id_col: str, words: int, percent: i
                     level = np.where(hot[at] == h, weight[at], 0).astype(np.uint8)
                 prefix = h[np.argsort(level, kind="stable")][: n - -(-percent * n // 100) + 1] if n else h
                 key = xxhash.xxh3_128_digest(prefix.tobytes() + n.to_bytes(8, "little"))
-                for column, value in zip(out, (n, xxhash.xxh3_128_digest(h.tobytes()), key, prefix.view(np.int64), parity_sketch(h) if n else b""), strict=True):
+                for column, value in zip(out, (n, xxhash.xxh3_128_digest(h.tobytes()), key, prefix.view(np.int64), parity_sketch(h, bits) if n else b""), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, (_, t) in zip(out, kinds, strict=True))], names=["id", "d", *(k for k, _ in kinds)])
         give_back()
@@ -365,7 +365,7 @@ def classes(docs: DataFrame, text_col: str, nodes: DataFrame, words: int, percen
             known = checkpointed(known.unionByName(verified(new, sets, percent)))
 
 
-def jaccard_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = SHINGLE, percent: int = PERCENT, bits: tuple[int, int] = BITS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id.
 
     Two documents link when 100 * common >= ``percent`` * united shingles; component_id is the
@@ -374,7 +374,7 @@ def jaccard_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     component has no other. Other columns of ``docs`` are not looked at; an empty table gives an empty result.
     Sets are of 64-bit hashes: that two shingles of a text collide is as likely as one in 2 to the 64 per pair.
     """
-    rows = checkpointed(describe(docs, text_col, id_col, words, percent))
+    rows = checkpointed(describe(docs, text_col, id_col, words, percent, bits))
     some = rows.where("n > 0")
     nodes = checkpointed(some.drop("id").dropDuplicates(["s"]))
     own = some.groupBy("s").agg(F.min("id").alias("own"), F.count("*").alias("copies"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, line_dedup, ngram_join, packing, simhash, token_bpe, toxicity, url_filter, vptree
+from . import chat_format, exact_dedup, html_extract, line_dedup, merkle, ngram_join, packing, simhash, token_bpe, toxicity, url_filter, vptree
 from .common import table
 
 HOST = r"^[a-z]+://([^/?#:]+)"
@@ -174,6 +174,47 @@ m AS (SELECT c.root, min(k.doc_id) AS component_id FROM k JOIN c USING (k) GROUP
 SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id FROM k LEFT JOIN c USING (k) LEFT JOIN m ON m.root = c.root
 """
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    claimed = F.when(tampered, merkle.record_digest([*values[:3], one_more, values[4]]))
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.record_digest(values), claimed)
+
+
+def _length_first(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _record(chars: str) -> str:
+    return "sha256(" + " || ".join(map(_length_first, ("doc_id", "source", "lang", chars, "text"))) + ")"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT *, xor(list_reduce([4294967295] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+      lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 7 = 0 AS mark FROM documents, crc),
+r AS (SELECT doc_id, lang, {_record("n_chars")} AS leaf, CASE WHEN mark THEN {_record("(n_chars + 1)")} ELSE {_record("n_chars")} END AS claim FROM d),
+x AS (SELECT *, row_number() OVER () AS id, coalesce('1' || lang, '0') AS grp,
+      row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM r),
+up(grp, lvl, pos, n, h) AS (SELECT grp, 0, pos, n, leaf FROM x
+  UNION ALL SELECT grp, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY grp, lvl, pos // 2, n),
+sub AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, pos, n, h) AS (SELECT 0, pos, n, subroot FROM sub
+  UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n),
+low AS (SELECT x.id, l.lvl AS ord, x.pos >> l.lvl AS own, s.h FROM x JOIN (SELECT DISTINCT grp, lvl FROM up WHERE n > 1) l USING (grp)
+        LEFT JOIN up s ON s.grp = x.grp AND s.lvl = l.lvl AND s.pos = xor(x.pos >> l.lvl, 1)),
+high AS (SELECT x.id, 1000 + l.lvl AS ord, g.pos >> l.lvl AS own, s.h FROM x JOIN sub g USING (grp) CROSS JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) l
+         LEFT JOIN top s ON s.lvl = l.lvl AND s.pos = xor(g.pos >> l.lvl, 1)),
+steps AS (SELECT id, ord, own, coalesce(h, '') AS h, row_number() OVER (PARTITION BY id ORDER BY ord) AS k FROM (SELECT * FROM low UNION ALL SELECT * FROM high)),
+fold(id, k, h) AS (SELECT id, 0, claim FROM x
+  UNION ALL SELECT f.id, f.k + 1, sha256(CASE WHEN s.own % 2 = 1 THEN s.h || f.h ELSE f.h || s.h END) FROM fold f JOIN steps s ON s.id = f.id AND s.k = f.k + 1),
+proof AS (SELECT id, sha256(string_agg(h, '' ORDER BY k)) AS proof_sha256 FROM steps GROUP BY id),
+ends AS (SELECT id, arg_max(h, k) AS folded_root FROM fold GROUP BY id)
+SELECT x.doc_id, x.leaf, sub.subroot, t.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM x JOIN sub USING (grp) JOIN ends USING (id) LEFT JOIN proof USING (id) CROSS JOIN (SELECT h FROM top WHERE n = 1) t
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -186,5 +227,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extract": op9_html_extract,
     "op10_bpe_codec": op10_bpe_codec,
     "op11_ngram_join": op11_ngram_join,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op11_ngram_join": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op11_ngram_join": OP11_SQL, "op13_merkle_manifest": OP13_SQL}

@@ -83,13 +83,12 @@ def test_against_all_pairs(spark, monkeypatch, seed, tile):
         assert joined(spark, rows[:120], percent=60) == plain_classes(rows[:120], 60)
 
 
-def test_failed_pairs_are_followed_by_others(spark, monkeypatch):
+def test_failed_pairs_are_followed_by_others(spark):
     """Sketches of 128 bits for large sets let many pairs through that fail; the buckets are asked until nothing is left."""
-    monkeypatch.setattr(ngram_join, "BITS", (128, 128))
     rng = random.Random(5)
     base = [f"w{i}" for i in range(900)]
     rows = [(i, " ".join(edited(rng, base, rng.choice([5, 10, 16, 20, 40])))) for i in range(60)]
-    assert joined(spark, rows) == plain_classes(rows)
+    assert joined(spark, rows, bits=(128, 128)) == plain_classes(rows)
 
 
 def test_no_pair_within_a_group_is_made(spark):
