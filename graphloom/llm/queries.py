@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, line_dedup, merkle, ngram_join, packing, simhash, token_bpe, toxicity, url_filter, vptree
+from . import align, chat_format, exact_dedup, html_extract, line_dedup, merkle, ngram_join, packing, simhash, token_bpe, toxicity, url_filter, vptree
 from .common import table
 
 HOST = r"^[a-z]+://([^/?#:]+)"
@@ -174,6 +174,10 @@ m AS (SELECT c.root, min(k.doc_id) AS component_id FROM k JOIN c USING (k) GROUP
 SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id FROM k LEFT JOIN c USING (k) LEFT JOIN m ON m.root = c.root
 """
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
     one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
@@ -227,6 +231,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extract": op9_html_extract,
     "op10_bpe_codec": op10_bpe_codec,
     "op11_ngram_join": op11_ngram_join,
+    "op12_token_align": op12_token_align,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op11_ngram_join": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
