@@ -35,8 +35,15 @@ SHINGLE = 3
 PERCENT = 90
 TILE = 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Words whose hashes a worker remembers, and the longest of them in bytes.
-CACHE, LONGEST = 1 << 20, 64
+FOLD = np.frombuffer(LOWER, np.uint8)
+GAP = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Odd multipliers, and what is left of eight bytes that a word has only some of.
+ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word from which on it is hashed by itself.
+LONGEST = 64
+#: Rows of a bucket from which on they are compared as matrices.
+MATRIX = 24
 #: Shingles among which a task looks for repeated ones at a time, and the common ones that go to every task at most.
 LOOK, COMMON = 1 << 22, 1 << 20
 #: Bits of a parity sketch: least and most.
@@ -46,19 +53,7 @@ PROPOSE = 8
 #: Nodes and digests of 16 bytes that go to every task at most.
 MANY = 200_000
 KEY = ["token", "i", "j"]
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_words = _Words()
+NAMES, KINDS = [*KEY, "u", "v"], [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -67,17 +62,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values, ascending, where each one's run begins in the sorted values)."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return values[first], first
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased, made from its length and its bytes, eight at a time."""
+    raw = FOLD[np.frombuffer(text, np.uint8)]
+    gap = np.r_[True, GAP[raw], True]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(raw) + 1,), "<u8", np.r_[raw, np.zeros(8, np.uint8)], strides=(1,))
+    h = lengths.astype(np.uint64) * ODD[0]
+    for at in range(0, min(int(lengths.max(initial=0)), LONGEST), 8):
+        some = np.flatnonzero(lengths > at)
+        h[some] = _mixed(h[some] * ODD[1] ^ (eight[starts[some] + at] & MASKS[np.minimum(lengths[some] - at, 8)]))
+    for k in np.flatnonzero(lengths > LONGEST):
+        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : starts[k] + lengths[k]].tobytes())
+    return h
+
+
 def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending; a shorter text is one shingle, a text without words none."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    size = min(words, len(tokens))
-    each = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
-    h = np.full(len(tokens) - size + 1, size, np.uint64)
+    each = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    size = min(words, len(each))
+    if not size:
+        return each
+    h = np.full(len(each) - size + 1, size, np.uint64)
     for k in range(size):
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(h)])
-    return np.unique(h)
+        h = h * ODD[2] + each[k : k + len(h)]
+    return _distinct(_mixed(h))[0]
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +107,9 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
         held: list[np.ndarray] = []
 
         def repeated() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            total = sum(map(len, held))
+            values, first = _distinct(np.concatenate(held))
+            counts = np.diff(np.r_[first, total])
             some = counts > 1
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=["h", "n"])
@@ -165,6 +184,27 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return other.select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "g", "n", "pos", "s", "sketch")
 
 
+def _few(rows: list[tuple], i: int, j: int, percent: int) -> list[tuple[int, int, int]]:
+    """candidates() of a few rows."""
+    found = []
+    sketches = [int.from_bytes(r[4], "little") for r in rows]
+    for x, (n_x, pos_x, c_x, g_x, wide_x, _, comp_x) in enumerate(rows):
+        for y in range(x):
+            n_y, pos_y, c_y, g_y, wide_y, _, comp_y = rows[y]
+            if 100 * min(n_x, n_y) < percent * max(n_x, n_y) or comp_x == comp_y or (g_x == g_y and pos_x) or (i != j and c_x == c_y):
+                continue
+            alpha = -(-percent * (n_x + n_y) // (100 + percent))
+            if min(n_x - pos_x, n_y - pos_y) < alpha:
+                continue
+            a, b, size = sketches[x], sketches[y], 8 * min(len(wide_x), len(wide_y))
+            if len(wide_x) != len(wide_y):
+                a, b = ((z >> size) ^ (z & ((1 << size) - 1)) if len(w) * 8 > size else z for z, w in ((a, wide_x), (b, wide_y)))
+            bits = (a ^ b).bit_count()
+            if bits <= n_x + n_y - 2 * alpha:
+                found.append((bits, y, x))
+    return sorted(found)
+
+
 def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
     """Sketches as rows of words, those of twice ``width`` bytes folded to one half."""
     out = np.zeros((len(sketches), width // 8), np.uint64)
@@ -247,54 +287,49 @@ def proposals(members: DataFrame, percent: int, again: DataFrame | None = None)
     members: as buckets() gives them, with comp, the part that is connected already. again: pairs of a
     bucket that have failed.
     """
-    columns = ["n", "pos", "c", "g", "s", "sketch", "comp"]
+    columns = ["n", "pos", "c", "g", "sketch", "s", "comp"]
     rows = members.select(*KEY, F.lit(None).cast("binary").alias("v"), *columns)
     if again is not None:
         rows = rows.unionByName(again.select(*KEY, "v", F.col("u").alias("s")), allowMissingColumns=True)
     dealt = rows.repartition(*KEY).sortWithinPartitions(*KEY)
 
-    def compare(key: tuple, block: list[pa.Table]) -> pa.RecordBatch | None:
-        table = pa.concat_tables(block)
-        out = table.column("v").is_valid()
-        tried = table.filter(out)
-        table = table.filter(pa.compute.invert(out))
-        if len(table) < 2:
-            return None
-        plain = {k: np.array(table.column(k).to_pylist(), object) for k in ("g", "s", "sketch", "comp")}
-        names, g = np.unique(plain["g"], return_inverse=True)
-        names, comp = np.unique(plain["comp"], return_inverse=True)
-        facts = {k: table.column(k).to_numpy().astype(np.int64) for k in ("n", "pos", "c")} | {"g": g, "comp": comp, "sketch": plain["sketch"]}
-        x, y, _ = candidates(facts, key[1], key[2], percent)
-        if not len(x):
-            return None
-        s = plain["s"]
-        if len(tried):
-            known = set(zip(tried.column("s").to_pylist(), tried.column("v").to_pylist(), strict=True))
-            open_ = np.array([(min(a, b), max(a, b)) not in known for a, b in zip(s[x], s[y], strict=True)])
-            x, y = x[open_], y[open_]
-            pick = _nearest(comp, x, y)
+    def compare(i: int, j: int, block: list[tuple]) -> list[tuple[bytes, bytes]]:
+        tried = {(r[6], r[0]) for r in block if r[0] is not None}
+        block = [r[1:] for r in block if r[0] is None]
+        if len(block) < 2:
+            return []
+        s = [r[5] for r in block]
+        if len(block) <= MATRIX:
+            pairs = [(x, y) for _, x, y in _few(block, i, j, percent)]
         else:
-            pick = spanning(comp, x, y)
-        u, v = s[x[pick]], s[y[pick]]
-        low = u < v
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), k), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)] + [pa.array(np.where(low, u, v), pa.binary()), pa.array(np.where(low, v, u), pa.binary())], names=[*KEY, "u", "v"])
+            cells = list(zip(*block, strict=True))
+            facts = {k: np.array(cells[at], np.int64) for at, k in enumerate(("n", "pos", "c"))} | {"sketch": np.array(cells[4], object)}
+            facts |= {k: np.unique(np.array(cells[at], object), return_inverse=True)[1] for at, k in ((3, "g"), (6, "comp"))}
+            x, y, _ = candidates(facts, i, j, percent)
+            pairs = list(zip(x.tolist(), y.tolist(), strict=True))
+        if tried:
+            pairs = [(x, y) for x, y in pairs if (min(s[x], s[y]), max(s[x], s[y])) not in tried]
+        if len(pairs) > 1:
+            parts = np.unique(np.array([r[6] for r in block], object), return_inverse=True)[1]
+            x, y = np.array(pairs).T
+            pairs = [pairs[k] for k in (_nearest if tried else spanning)(parts, x, y)]
+        return [(min(s[x], s[y]), max(s[x], s[y])) for x, y in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = None, []
+        key, block = (0, 0, 0), []
         for batch in batches:
             keys = [batch.column(k).to_numpy() for k in range(3)]
-            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            cuts = (np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1).tolist() if len(batch) else []
+            facts = list(zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True))
+            made: list[tuple] = []
             for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-                if a == b:
-                    continue
-                here = tuple(int(k[a]) for k in keys)
+                here = tuple(int(k[a]) for k in keys) if a < b else key
                 if here != key:
-                    if block and (made := compare(key, block)) is not None:
-                        yield made
+                    made.extend((*key, u, v) for u, v in compare(*key[1:], block))
                     key, block = here, []
-                block.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-        if block and (made := compare(key, block)) is not None:
-            yield made
+                block.extend(facts[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), KINDS, strict=True)], names=NAMES) if made else pa.RecordBatch.from_pylist([], schema=pa.schema(list(zip(NAMES, KINDS, strict=True))))
+        yield pa.RecordBatch.from_pylist([dict(zip(NAMES, (*key, u, v), strict=True)) for u, v in compare(*key[1:], block)], schema=pa.schema(list(zip(NAMES, KINDS, strict=True))))
         give_back()
 
     return dealt.mapInArrow(run, "token long, i int, j int, u binary, v binary")
