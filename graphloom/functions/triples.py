@@ -6,6 +6,7 @@ A triple's parts are non-empty, hold no tag, and have runs of white space writte
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import Column
@@ -39,16 +40,30 @@ def collapse(text: Column) -> Column:
 
 @cache
 def _folds() -> dict[str, str]:
-    """Characters whose casefold is not their lower case; sigma too, whose lower case depends on its place."""
-    return {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c == "\u03a3" or c.casefold() != c.lower()}
+    """Lower-case characters that case folding changes, with what they become."""
+    low = {c for x in map(chr, range(sys.maxunicode + 1)) for c in x.lower()} | {"\u03c2"}
+    return {c: c.casefold() for c in sorted(low) if c.casefold() != c}
+
+
+def _class(chars: Iterable[str]) -> Column:
+    return F.lit("[" + "".join(rf"\x{{{ord(c):x}}}" for c in chars) + "]")
 
 
 def casefold(text: Column) -> Column:
-    """Full case folding: lower case, but for texts with a character that folds otherwise, which are folded one by one."""
-    folds = _folds()
-    table = F.create_map(*(F.lit(x) for pair in folds.items() for x in pair))
-    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
-    return F.when(F.regexp_like(text, F.lit("[" + "".join(rf"\x{{{ord(c):x}}}" for c in folds) + "]")), F.array_join(each, "")).otherwise(F.lower(text))
+    """Full case folding: lower case, then what folding changes beyond it, in texts that hold such a character.
+
+    Characters that become one other are translated together, the few that become several are replaced
+    one by one, the sharp s, which is common, ahead of the others.
+    """
+    folds, sharp = _folds(), "\u00df"
+    single = {c: f for c, f in folds.items() if len(f) == 1}
+    several = {c: f for c, f in folds.items() if len(f) > 1 and c != sharp}
+    low = F.replace(F.lower(text), F.lit(sharp), F.lit(folds[sharp]))
+    moved = F.translate(low, "".join(single), "".join(single.values()))
+    whole = moved
+    for c, f in several.items():
+        whole = F.replace(whole, F.lit(c), F.lit(f))
+    return F.when(F.regexp_like(low, _class(several)), whole).when(F.regexp_like(low, _class(single)), moved).otherwise(low)
 
 
 def question_key(text: Column) -> Column:

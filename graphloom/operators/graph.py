@@ -1,23 +1,28 @@
 """Undirected reachability inside records.
 
 A record's graph usually fits in a task (a record is a question with its documents), and there are many
-records. So components are labelled per record in Arrow groups with a union-find; a record that is too
+records. So components are labelled in Arrow batches of many whole graphs; a record that is too
 large for that is labelled by rounds of star contraction over all tasks. Reachability asks whether a
-node of the start's component equals, contains or is contained in the goal: a join by component with
-that test as residual. Only the goal is tested so, and the start itself counts as visited.
+node of the start's component equals, contains or is contained in the goal: an equality join, then an
+index of names. Only the goal is tested so, and the start itself counts as visited.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .containment import contained
 from .joins import names_match
 from .lineage import checkpointed
 
-#: Edges of one graph that a task labels.
-LARGEST = 500_000
+#: Edges of one graph that a task labels, and edges of many graphs that it labels at a time.
+LARGEST, AT_ONCE = 500_000, 100_000
 
 
 class UnionFind:
@@ -74,49 +79,97 @@ def star_components(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def components(edges: DataFrame, keys: list[str], largest: int = LARGEST) -> DataFrame:
-    """(keys, node, comp): comp is the smallest node, in code-point order, of the node's component.
+    """(keys, node, comp): comp is the smallest node, in code-point order, of the node's component; without keys all edges are one graph.
 
-    Graphs of at most ``largest`` edges are labelled in one task each, larger ones by star contraction.
+    Graphs of at most ``largest`` edges are labelled in batches by a task, larger ones by star contraction.
     """
     plain = checkpointed(edges.select(*keys, "u", "v").where("u is not null and v is not null").distinct())
-    giant = plain.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > largest).drop("n")
-    if giant.isEmpty():
+    giant = plain.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > largest).drop("n") if keys else plain.limit(1)
+    if giant.isEmpty() or (not keys and plain.count() <= largest):
         return _grouped(plain, keys)
-    giant = checkpointed(giant)
-    big = plain.join(giant, keys, "left_semi")
+    giant = checkpointed(giant) if keys else None
+    big = plain.join(giant, keys, "left_semi") if keys else plain
     nodes = big.select(*keys, F.col("u").alias("node")).unionByName(big.select(*keys, F.col("v").alias("node"))).distinct()
     labelled = nodes.join(star_components(big, keys), [*keys, "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
-    return _grouped(plain.join(giant, keys, "left_anti"), keys).unionByName(labelled)
+    return _grouped(plain.join(giant, keys, "left_anti"), keys).unionByName(labelled) if keys else labelled
 
 
-def _grouped(plain: DataFrame, keys: list[str]) -> DataFrame:
-    fields = [f for f in plain.schema.fields if f.name in keys]
-    names = [f.name for f in fields]
+def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before; the first row's do."""
+    new = np.zeros(len(table), bool)
+    new[:1] = True
+    for k in keys:
+        column = table.column(k).combine_chunks()
+        a, b = column[:-1], column[1:]
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return new
+
+
+def _label(table: pa.Table, keys: list[str]) -> pa.Table:
+    """The labelled nodes of whole graphs, whose rows are sorted by keys; all graphs at once."""
+    new = _changes(table, keys)
+    graph = np.cumsum(new) - 1
+    names = pa.concat_arrays([table.column(c).combine_chunks() for c in "uv"]).dictionary_encode()
+    order = pc.sort_indices(names.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    cells, at = np.unique(np.r_[graph, graph] * len(order) + rank[names.indices.to_numpy()], return_inverse=True)
+    i, j, label = at[: len(table)], at[len(table) :], np.arange(len(cells))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    sorted_names, mine = names.dictionary.take(pa.array(order)), cells % len(order)
+    columns = {k: table.column(k).take(pa.array(np.flatnonzero(new)[cells // len(order)])) for k in keys}
+    return pa.table({**columns, "node": sorted_names.take(pa.array(mine)), "comp": sorted_names.take(pa.array(mine[label]))})
 
-    def label(key: tuple, rows: pa.Table) -> pa.Table:
-        sets = UnionFind()
-        for a, b in zip(rows.column("u").to_pylist(), rows.column("v").to_pylist(), strict=True):
-            sets.join(a, b)
-        nodes = list(sets.up)
-        columns = {n: pa.repeat(k, len(nodes)) for n, k in zip(names, key, strict=True)}
-        return pa.table({**columns, "node": pa.array(nodes, pa.string()), "comp": pa.array([sets.find(x) for x in nodes], pa.string())})
 
-    ddl = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "node string", "comp string"])
-    return plain.groupBy(*names).applyInArrow(label, ddl)
+def _grouped(plain: DataFrame, keys: list[str]) -> DataFrame:
+    """Labels graphs that fit in a task: those of a partition together, a bounded number of edges and at least one graph at a time."""
+    kind = plain.schema["u"].dataType.simpleString()
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name in keys), f"node {kind}", f"comp {kind}"])
+    names = [f.name for f in plain.schema.fields if f.name in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= AT_ONCE:
+                table = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(_changes(table, names))[-1])
+                if last:
+                    yield from _label(table.slice(0, last), names).to_batches()
+                held = table.slice(last).to_batches()
+        if held and sum(map(len, held)):
+            yield from _label(pa.Table.from_batches(held), names).to_batches()
+
+    return plain.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl) if keys else plain.coalesce(1).mapInArrow(run, ddl)
 
 
 def reachable(pairs: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """The (keys, a, b) of ``pairs``, distinct, for which b, or a name alike, is reached from a."""
+    """The (keys, a, b) of ``pairs``, distinct, for which b, or a name alike, is reached from a.
+
+    Goals that are nodes of the start's component are found by an equality join; the others by an index
+    of names that hold one another, in both directions, inside of the component.
+    """
+    scope = [*keys, "comp"]
     asked = pairs.select(*keys, "a", "b").distinct()
     at_once = asked.where(names_match(F.col("a"), F.col("b")))
-    rest = asked.where(~names_match(F.col("a"), F.col("b")))
-    start = labelled.select(*keys, F.col("node").alias("a"), "comp")
-    goals = labelled.select(*(F.col(k).alias(f"g_{k}") for k in keys), F.col("comp").alias("g_comp"), F.col("node").alias("goal"))
-    near = F.lit(True)
-    for k in keys:
-        near = near & (F.col(k) == F.col(f"g_{k}"))
-    found = rest.join(start, [*keys, "a"]).join(goals, near & (F.col("comp") == F.col("g_comp")) & names_match(F.col("goal"), F.col("b")), "left_semi")
-    return at_once.unionByName(found.select(*keys, "a", "b"))
+    rest = checkpointed(asked.where(~names_match(F.col("a"), F.col("b"))).join(labelled.select(*keys, F.col("node").alias("a"), "comp"), [*keys, "a"]))
+    nodes = labelled.select(*scope, F.col("node").alias("name"))
+    goals = rest.select(*scope, F.col("b").alias("name")).distinct()
+    equal = goals.join(nodes, [*scope, "name"], "left_semi")
+    open_ = checkpointed(goals.join(nodes, [*scope, "name"], "left_anti"))
+    near = checkpointed(nodes.join(open_.select(*scope).distinct(), scope, "left_semi"))
+    inside = contained(open_, near, scope).select(*scope, F.col("short").alias("name"))
+    around = contained(near, open_, scope).select(*scope, F.col("long").alias("name"))
+    hit = equal.unionByName(inside).unionByName(around).distinct().withColumnRenamed("name", "b")
+    return at_once.unionByName(rest.join(hit, [*scope, "b"], "left_semi").select(*keys, "a", "b"))
 
 
 def leak_filter(private: DataFrame, public: DataFrame, rec: str = "rec") -> DataFrame:

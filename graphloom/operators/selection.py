@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import priority
-from ..functions.triples import question_key
+from ..functions.triples import SPACE, question_key
 from .dedup import smallest_per_key
 
 
 def ranked_unique(rows: DataFrame, question: str, index: str, seed: int = 42, exclude: DataFrame | None = None) -> DataFrame:
     """One row per question key: key, priority, index. ``exclude`` has a column key."""
-    keyed = rows.select(question_key(F.col(question)).alias("k"), F.col(index).alias("idx")).where("k is not null and k <> ''")
+    # A key is empty where the question holds nothing but white space; asking the key itself would fold the text twice.
+    keyed = rows.where(F.regexp_like(question, F.lit(f"[^{SPACE[1:]}"))).select(question_key(F.col(question)).alias("k"), F.col(index).alias("idx"))
     scored = keyed.withColumn("pri", priority(seed, F.col("k"), F.col("idx")))
     if exclude is not None:
         scored = scored.join(exclude.select(F.col("key").alias("k")), "k", "left_anti")

@@ -1,7 +1,8 @@
 """Validators: error rows over dynamic JSON, counts, and gates.
 
 Records are VARIANT values in column v with their number in ``line``; a line that is no JSON has v
-null. Checks are built-in expressions; an error is a row (line, field), so reports are aggregations.
+null. Checks are built-in expressions; an error is a row (line, field), so counts are aggregations. The
+reports of RL and SFT records are in reports.py.
 """
 
 from __future__ import annotations
@@ -9,10 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fingerprint, in_unit
-from ..functions.triples import coerce, is_canonical, serialize, strip
-from .lineage import checkpointed
-from .runs import run_stats
+from ..functions.scalars import in_unit
+from ..functions.triples import strip
 
 RETRIEVED, RL, SFT = ("question", "answers", "ctxs"), ("public", "privacy", "ctxs"), ("public", "private", "text", "anonymized_text", "o_public", "o_private")
 
@@ -98,133 +97,6 @@ def validate_retrieved(records: DataFrame, contexts: int = 10) -> DataFrame:
     return out.withColumn("valid", F.col("invalid_records") == 0)
 
 
-def _raw(v: Column, path: str) -> Column:
-    """Raw triples in a list: the good ones as neutral strings, null for the others."""
-    parts = F.transform(items(v, path), lambda x: F.when(F.schema_of_variant(x) == "ARRAY<STRING>", F.try_variant_get(x, "$", "array<string>")))
-    return F.transform(F.transform(parts, coerce), lambda t: F.when(t.isNotNull(), serialize(t)))
-
-
-def _tagged(v: Column, path: str) -> Column:
-    """Canonical neutral strings in a list, null for anything else."""
-    texts = F.transform(items(v, path), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
-    return F.transform(texts, lambda t: F.when(is_canonical(t), t))
-
-
-def _nulls(a: Column) -> Column:
-    return F.size(F.filter(a, lambda x: x.isNull()))
-
-
-def _good(a: Column) -> Column:
-    return F.filter(a, lambda x: x.isNotNull())
-
-
-def sft_rows(records: DataFrame) -> DataFrame:
-    """The columns that the checks of flat training rows need."""
-    v = F.col("v")
-    named = {"public": _raw(v, "$.public"), "private": _raw(v, "$.private"), "o_public": _tagged(v, "$.o_public"), "o_private": _tagged(v, "$.o_private")}
-    whole = F.lit(True)
-    for f in SFT:
-        whole = whole & kind(v, f"$.{f}").isNotNull()
-    return records.select("line", "v", is_object(v).alias("object"), (is_object(v) & whole).alias("whole"), *(c.alias(k) for k, c in named.items()))
-
-
-def sft_checks() -> list[tuple[str, Column]]:
-    v, whole = F.col("v"), F.col("whole")
-    on = lambda n: F.when(whole, n)
-    lists = [(f, on(_count(~is_list(v, f"$.{f}")) + _nulls(F.col(f)))) for f in ("public", "private", "o_public", "o_private")]
-    texts = [(f, on(_count(~is_text(v, f"$.{f}")))) for f in ("text", "anonymized_text")]
-    good = {f: _good(F.col(f)) for f in ("public", "private", "o_public", "o_private")}
-    both = [(f"{a}/{b}", on(_count(F.arrays_overlap(good[a], good[b])))) for a, b in (("public", "private"), ("o_public", "o_private"))]
-    absent = [(f"{a} absent", on(_count(F.size(F.array_except(good[a], good[b])) > 0))) for a, b in (("o_public", "public"), ("o_private", "private"))]
-    return [("<record>", _count(~whole)), *lists, *texts, *both, *absent]
-
-
-def sft_errors(rows: DataFrame) -> DataFrame:
-    return error_rows(rows, sft_checks())
-
-
-def validate_sft(records: DataFrame) -> DataFrame:
-    """records_total, records_with_errors, repeats and empties of each collection, runs of (public, private)."""
-    cols = ("public", "private", "o_public", "o_private")
-    fp = fingerprint(F.to_json(F.try_variant_get("v", "$.public", "variant")), F.to_json(F.try_variant_get("v", "$.private", "variant")))
-    rows = sft_rows(records).select("line", "whole", (F.size(errors_of(sft_checks())) > 0).alias("bad"), fp.alias("fp"), *(repeats(F.col(c)).alias(f"repeats_{c}") for c in cols), *(F.size(_good(F.col(c))).alias(f"size_{c}") for c in cols))
-    flat = checkpointed(rows)
-    counts = flat.agg(
-        F.count("*").alias("records_total"),
-        F.count_if("bad").alias("records_with_errors"),
-        *(F.coalesce(F.sum(F.when(F.col("whole"), F.col(f"repeats_{c}"))), F.lit(0)).alias(f"duplicate_{c}") for c in cols),
-        *(F.count_if(F.col("whole") & (F.col(f"size_{c}") == 0)).alias(f"empty_{c}") for c in cols),
-    )
-    runs = run_stats(flat.where("whole").select("line", "fp"), "line", "fp")
-    return counts.crossJoin(runs.withColumnRenamed("unique_values", "unique_fingerprints")).withColumn("valid", F.col("records_with_errors") == 0)
-
-
-def rl_contexts(records: DataFrame) -> DataFrame:
-    """One row per context of records that have their fields: line, pos, ctx, local triples, global triples."""
-    v = F.col("v")
-    whole = is_object(v)
-    for f in RL:
-        whole = whole & kind(v, f"$.{f}").isNotNull()
-    rows = records.select("line", "v", whole.alias("whole"), _raw(v, "$.public").alias("public"), _raw(v, "$.privacy").alias("privacy"))
-    return rows.select("line", "v", "whole", "public", "privacy", F.posexplode_outer(F.when(F.col("whole"), items(v, "$.ctxs"))).alias("pos", "ctx")).select("*", _local(F.col("ctx"), "$.public").alias("l_public"), _local(F.col("ctx"), "$.private").alias("l_private"))
-
-
-def _local(v: Column, path: str) -> Column:
-    """Local triples, raw or canonical: neutral strings, null for malformed ones."""
-    raw, tagged = _raw(v, path), _tagged(v, path)
-    return F.zip_with(raw, tagged, lambda a, b: F.coalesce(b, a))
-
-
-def rl_checks(require_qa: bool = False) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
-    """Checks of a record, for its first context's row, and of each context."""
-    v = F.col("v")
-    whole = F.col("whole")
-    on = lambda n: F.when(whole, n)
-    checks = [
-        ("<record>", _count(~whole)),
-        ("public", on(_count(~is_list(v, "$.public")) + _nulls(F.col("public")))),
-        ("privacy", on(_count(~is_list(v, "$.privacy")) + _nulls(F.col("privacy")))),
-        ("public/privacy", on(_count(F.arrays_overlap(_good(F.col("public")), _good(F.col("privacy")))))),
-        ("ctxs", on(_count(~is_list(v, "$.ctxs") | (F.size(items(v, "$.ctxs")) == 0)))),
-        ("ctxs[].id repeated", on(repeats(F.transform(items(v, "$.ctxs"), lambda c: F.try_variant_get(c, "$.id", "string"))))),
-    ]
-    if require_qa:
-        checks += [("question", on(_count(~is_text(v, "$.question")))), ("answers", on(_count(~texts_ok(v, "$.answers"))))]
-    c, there = F.col("ctx"), F.col("ctx").isNotNull()
-    at = lambda n: F.when(there, n)
-    local = [
-        ("ctxs[]", at(_count(~is_object(c)))),
-        ("ctxs[].text", at(_count(is_object(c) & ~is_text(c, "$.text")))),
-        *((f"ctxs[].{f}", at(F.when(is_object(c), _count(~is_list(c, f"$.{f}")) + _nulls(F.col(f"l_{f}"))))) for f in ("public", "private")),
-        *((f"ctxs[].{f} absent", at(_count(F.size(F.array_except(_good(F.col(f"l_{f}")), _good(F.col(g)))) > 0))) for f, g in (("public", "public"), ("private", "privacy"))),
-    ]
-    return checks, local
-
-
-def rl_errors(records: DataFrame, require_qa: bool = False) -> DataFrame:
-    rows = rl_contexts(records)
-    head, local = rl_checks(require_qa)
-    return error_rows(rows.where("pos is null or pos = 0"), head).unionByName(error_rows(rows, local))
-
-
-def validate_rl(records: DataFrame, require_qa: bool = False) -> DataFrame:
-    """query_count, document_count, records_with_errors, empty and mean local lists, and valid."""
-    head, local = rl_checks(require_qa)
-    n = lambda c: F.size(_good(F.col(c)))
-    there = F.col("ctx").isNotNull()
-    bad = F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.size(errors_of(head)) > 0).otherwise(F.lit(False)) | (F.size(errors_of(local)) > 0)
-    docs = rl_contexts(records).agg(
-        F.count_distinct("line").alias("query_count"),
-        F.count_distinct(F.when(bad, F.col("line"))).alias("records_with_errors"),
-        F.count_if(there).alias("document_count"),
-        F.count_if(there & (n("l_public") == 0)).alias("empty_local_public"),
-        F.count_if(there & (n("l_private") == 0)).alias("empty_local_private"),
-        F.avg(F.when(there, n("l_public"))).alias("mean_local_public"),
-        F.avg(F.when(there, n("l_private"))).alias("mean_local_private"),
-    )
-    return docs.withColumn("valid", F.col("records_with_errors") == 0)
-
-
 def check_metrics(metrics: DataFrame, expected: DataFrame, key: str, counts: tuple[str, ...], rates: tuple[str, ...]) -> DataFrame:
     """Each expected metric row with valid: counts agree and rates lie in the unit interval."""
     want = expected.select(key, *(F.col(c).alias(f"want_{c}") for c in counts))

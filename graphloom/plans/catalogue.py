@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import triples as T
-from ..operators import dedup, evalsets, graph, joins, metrics, models, records, runs, selection, split, validate
+from ..operators import closure, dedup, evalsets, graph, joins, metrics, models, records, reports, runs, selection, split, validate
+from ..operators.lineage import checkpointed
 from ..sources import ingest
 from . import bridge
 from .bridge import table
@@ -295,7 +296,7 @@ def log_merge(spark, d):
 @query
 def log_regex(spark, d):
     v = F.col("value")
-    return bridge.log_lines(spark, d).select("line", S.log_field(v, "step", r"\d+").cast("long").alias("step"), S.log_field(v, "kl").cast("double").alias("kl"))
+    return bridge.log_lines(spark, d).select("line", S.log_count(v, "step").alias("step"), S.log_number(v, "kl").alias("kl"))
 
 
 @query
@@ -349,7 +350,7 @@ def promote_round(spark, d):
 @query
 def promote_closure(spark, d):
     merged = bridge.kg_merged(bridge.kg_triples(spark, d))
-    return split.split_graph(merged).select("rec", "pos", "part")
+    return closure.promotion_closure(merged).select("rec", "pos", "part")
 
 
 @query
@@ -449,16 +450,54 @@ def validate_retrieved(spark, d):
     return validate.validate_retrieved(_variant(bridge.retrieved_json(spark, d)), 4)
 
 
+def _sft(spark, d):
+    return reports.describe_sft(_variant(bridge.sft_json(spark, d)))
+
+
+def _rl(spark, d):
+    return reports.describe_rl(_variant(bridge.rl_json(spark, d)), require_qa=True)
+
+
+def _statistics(described):
+    return reports.summary(described).withColumn("mean", nine("mean"))
+
+
 @query
 def validate_sft(spark, d):
-    out = validate.validate_sft(_variant(bridge.sft_json(spark, d)))
-    return out.select("records_total", "records_with_errors", "empty_public", "empty_private", "empty_o_public", "empty_o_private", "valid")
+    return reports.sft_counts(_sft(spark, d))
+
+
+@query
+def sft_statistics(spark, d):
+    return _statistics(_sft(spark, d))
+
+
+@query
+def sft_errors(spark, d):
+    return reports.located_errors(_sft(spark, d)).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query
+def sft_groups(spark, d):
+    return runs.run_stats(_sft(spark, d).where("fp is not null").select("line", "fp"), "line", "fp")
 
 
 @query
 def validate_rl(spark, d):
-    out = validate.validate_rl(_variant(bridge.rl_json(spark, d)), require_qa=True)
-    return out.select("query_count", "document_count", "records_with_errors", "empty_local_public", "empty_local_private", nine("mean_local_public").alias("mean_local_public"), "valid")
+    described = checkpointed(_rl(spark, d))
+    mean = reports.summary(described).where("measure = 'local_public_triples_per_document'").select(nine("mean").alias("mean_local_public"))
+    out = reports.rl_counts(described).crossJoin(F.broadcast(mean))
+    return out.withColumns({c: nine(c) for c in out.columns if c.endswith("_ratio")})
+
+
+@query
+def rl_statistics(spark, d):
+    return _statistics(_rl(spark, d))
+
+
+@query
+def rl_errors(spark, d):
+    return reports.located_errors(_rl(spark, d)).withColumn("nth", F.col("nth").cast("long"))
 
 
 @query

@@ -39,6 +39,8 @@ def reach(name: str, edges: str, keys: str) -> str:
 {name} AS (SELECT {keys}, u AS src, u AS node FROM {name}_e UNION SELECT {", ".join("x." + k for k in keys.split(", "))}, x.src, e.v FROM {name} x JOIN {name}_e e ON {same} AND e.u = x.node)"""
 
 
+#: Rounds of the promotion closure that SQL writes out; the tables need fewer.
+ROUNDS = 12
 ALIKE = "(contains({0}, {1}) OR contains({1}, {0}))"
 
 
@@ -49,6 +51,24 @@ def connected(pairs: str, name: str, keys: str) -> str:
       OR EXISTS (SELECT 1 FROM {name} g WHERE {same} AND g.src = q.a AND {ALIKE.format("g.node", "q.b")})"""
 
 
+def closure(rounds: int) -> str:
+    """The promotion closure, its rule stated anew for every round; a round after the fixed point changes nothing."""
+    steps = ["s0 AS (SELECT rec, pos, h, r, t FROM pri)"]
+    for k in range(rounds):
+        steps.append(reach(f"g{k}", f"SELECT rec, h AS u, t AS v FROM s{k}", "rec"))
+        steps.append(f"o{k} AS (SELECT rec, pos, h, r, t FROM merged ANTI JOIN s{k} USING (rec, pos))")
+        steps.append(f"c{k} AS ({connected(f'SELECT rec, h AS a, t AS b FROM o{k}', f'g{k}', 'rec')})")
+        steps.append(f"""s{k + 1} AS MATERIALIZED (FROM s{k} UNION SELECT o.* FROM o{k} o SEMI JOIN c{k} c ON c.rec = o.rec AND c.a = o.h AND c.b = o.t
+  UNION SELECT o.* FROM o{k} o SEMI JOIN s{k} p ON p.rec = o.rec AND p.r = o.r AND p.t = o.t AND {ALIKE.format("p.h", "o.h")})""")
+    last = f"s{rounds}"
+    shown = f"SELECT rec, h, t FROM merged ANTI JOIN {last} USING (rec, pos)"
+    steps.append(reach("gz", f"SELECT rec, h AS u, t AS v FROM ({shown})", "rec"))
+    steps.append(f"cz AS ({connected(f'SELECT rec, h AS a, t AS b FROM {last}', 'gz', 'rec')})")
+    return f"""{FULL}, {", ".join(steps)}
+SELECT m.rec, m.pos, CASE WHEN s.pos IS NULL THEN 'public' WHEN cz.a IS NOT NULL THEN 'leaked' ELSE 'private' END AS part
+FROM merged m LEFT JOIN {last} s ON s.rec = m.rec AND s.pos = m.pos LEFT JOIN cz ON s.rec = cz.rec AND cz.a = m.h AND cz.b = m.t"""
+
+
 def n1000(k: int) -> str:
     return f"(event_id * {k} % 1000) / 1000.0"
 
@@ -86,6 +106,16 @@ b AS (SELECT key, min(struct_pack(p := priority, i := doc_id)) AS s FROM k WHERE
 x AS (SELECT key, s.p AS priority, s.i AS "index", row_number() OVER (ORDER BY s.p, s.i, key) AS rank FROM b)"""
 
 
+SFT_ROWS = f"""{LOC}, d AS (SELECT rec * 100 + ctx_pos AS line, (rec * 100 + ctx_pos) % 50 AS m, (rec * 100 + ctx_pos) % 50 NOT IN (3, 5) AS whole, count(*) FILTER (WHERE p) AS a, count(*) FILTER (WHERE NOT p) AS b,
+  string_agg(CAST(p AS VARCHAR) || '|' || h || '|' || r || '|' || t, ';' ORDER BY p, t_pos) AS x FROM ll GROUP BY rec, ctx_pos)"""
+RL_ROWS = f"{LOC}, d AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY ctx_pos) - 1 AS k FROM (SELECT rec, rec % 40 AS m, ctx_pos, count(*) FILTER (WHERE p) AS a, count(*) FILTER (WHERE NOT p) AS b FROM ll GROUP BY ALL))"
+RL_ERRORS = """SELECT rec, 100 + k AS o, 'ctxs[' || k || '].id' AS location, 'duplicate context ID within query' AS message FROM d x WHERE m = 1 AND ctx_pos = 1 AND EXISTS (SELECT 1 FROM d y WHERE y.rec = x.rec AND y.ctx_pos = 0)
+  UNION ALL SELECT rec, 100 + k, 'ctxs[' || k || '].text', 'must be a non-empty string' FROM d WHERE m = 2 AND ctx_pos = 0
+  UNION ALL SELECT DISTINCT rec, 0, 'privacy[0]', 'triple items must not be empty or hold tags' FROM d WHERE m = 3
+  UNION ALL SELECT rec, 100 + k, 'ctxs[' || k || '].private', b || ' local triples are absent from global privacy' FROM d WHERE m = 3 AND b > 0
+  UNION ALL SELECT DISTINCT rec, 0, 'ctxs', 'missing required field' FROM d WHERE m = 4"""
+STATISTICS = "SELECT s.m AS measure, count(*) AS count, CAST(min(s.v) AS BIGINT) AS min, CAST(max(s.v) AS BIGINT) AS max, round(avg(s.v), 9) AS mean, median(s.v) AS median FROM v GROUP BY s.m"
+
 ORACLES: dict[str, str] = {
     "serialize_triples": f"{BASE} SELECT rec, ctx_pos, t_pos, {neutral()} AS neutral, {neutral(tags=PUBLIC)} AS public, {neutral(tags=PRIVATE)} AS private FROM kg",
     "parse_triples": f"{BASE} SELECT rec, ctx_pos, t_pos, " + ", ".join(f"CASE WHEN rec % 5 >= 3 THEN {c} ELSE '-' END AS {c}" for c in "hrt") + " FROM kg",
@@ -133,6 +163,7 @@ ORACLES: dict[str, str] = {
     "components": f"{FULL}, {reach('g', 'SELECT rec, h AS u, t AS v FROM pri', 'rec')} SELECT rec, src AS node, min(node) AS comp FROM g GROUP BY ALL",
     "reachable_pairs": f"{FULL}, {reach('g', 'SELECT rec, h AS u, t AS v FROM pri', 'rec')} {connected('SELECT rec, h AS a, t AS b FROM pub', 'g', 'rec')}",
     "leak_filter": f"{FULL}, {reach('g', 'SELECT rec, h AS u, t AS v FROM pub', 'rec')}, c AS ({connected('SELECT rec, h AS a, t AS b FROM pri', 'g', 'rec')}) SELECT rec, pos, h, r, t FROM pri WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.rec = pri.rec AND c.a = pri.h AND c.b = pri.t)",
+    "promote_closure": closure(ROUNDS),
     "promote_round": f"{FULL}, {reach('g', 'SELECT rec, h AS u, t AS v FROM pri', 'rec')}, c AS ({connected('SELECT rec, h AS a, t AS b FROM pub', 'g', 'rec')}), m AS (SELECT DISTINCT rec, h, r, t, CAST(EXISTS (SELECT 1 FROM pri p WHERE p.rec = pub.rec AND p.r = pub.r AND p.t = pub.t AND {ALIKE.format('p.h', 'pub.h')}) AS INT) AS conflict, CAST(EXISTS (SELECT 1 FROM c WHERE c.rec = pub.rec AND c.a = pub.h AND c.b = pub.t) AS INT) AS path FROM pub) SELECT * FROM m WHERE conflict + path > 0",
     "d_special": f"{LOC}, s AS (SELECT DISTINCT rec, ctx_pos FROM lp WHERE EXISTS (SELECT 1 FROM ls WHERE ls.rec = lp.rec AND ls.ctx_pos = lp.ctx_pos AND ls.t = lp.t) AND NOT EXISTS (SELECT 1 FROM ls WHERE ls.rec = lp.rec AND ls.ctx_pos = lp.ctx_pos AND ls.t = lp.t AND ls.h = lp.h AND ls.r = lp.r)) SELECT rec, count(*) AS special FROM s GROUP BY rec HAVING count(*) >= 2",
     "special_contexts": f"{LOC} SELECT DISTINCT rec, ctx_pos FROM lp WHERE EXISTS (SELECT 1 FROM ls WHERE ls.rec = lp.rec AND ls.ctx_pos = lp.ctx_pos AND ls.t = lp.t) AND NOT EXISTS (SELECT 1 FROM ls WHERE ls.rec = lp.rec AND ls.ctx_pos = lp.ctx_pos AND ls.t = lp.t AND ls.h = lp.h AND ls.r = lp.r)",
@@ -157,11 +188,26 @@ v AS (SELECT *, n = 4 AND m <> 5 AS ok FROM c)
 SELECT count(*) AS records, CAST(coalesce(sum(n) FILTER (WHERE ok), 0) AS BIGINT) AS contexts,
  CAST(sum(CASE WHEN m = 5 THEN 1 ELSE CAST(m = 3 AS INT) + CAST(m = 4 AS INT) + CAST(NOT ok AS INT) + CASE WHEN ok THEN e + CAST(m = 1 AS INT) + CAST(m = 2 AS INT) ELSE 0 END END) AS BIGINT) AS invalid_records,
  coalesce(sum(CASE WHEN m IN (3, 4, 5) OR NOT ok OR e > 0 OR m IN (1, 2) THEN 1 ELSE 0 END), 0) = 0 AS valid FROM v""",
-    "validate_sft": f"{LOC}, d AS (SELECT (rec * 100 + ctx_pos) % 50 AS m, count(*) FILTER (WHERE p) AS a, count(*) FILTER (WHERE NOT p) AS b FROM ll GROUP BY rec, ctx_pos) SELECT count(*) AS records_total, count(*) FILTER (WHERE m BETWEEN 1 AND 5) AS records_with_errors, count(*) FILTER (WHERE m NOT IN (3, 5) AND a = 0) AS empty_public, count(*) FILTER (WHERE m NOT IN (3, 5) AND b = 0) AS empty_private, count(*) FILTER (WHERE m NOT IN (3, 4, 5) AND a = 0) AS empty_o_public, count(*) FILTER (WHERE m NOT IN (3, 5) AND b = 0) AS empty_o_private, count(*) FILTER (WHERE m BETWEEN 1 AND 5) = 0 AS valid FROM d",
-    "validate_rl": f"""{LOC}, d AS (SELECT rec, rec % 40 AS m, ctx_pos, count(*) FILTER (WHERE p) AS a, count(*) FILTER (WHERE NOT p) AS b FROM ll GROUP BY ALL),
-e AS (SELECT rec, m, count(*) FILTER (WHERE m = 1 AND ctx_pos IN (0, 1)) > 1 OR count(*) FILTER (WHERE m = 2 AND ctx_pos = 0) > 0 OR m IN (3, 4) AS bad FROM d GROUP BY rec, m)
-SELECT (SELECT count(*) FROM e) AS query_count, count(*) FILTER (WHERE m <> 4) AS document_count, (SELECT count(*) FROM e WHERE bad) AS records_with_errors,
- count(*) FILTER (WHERE m <> 4 AND a = 0) AS empty_local_public, count(*) FILTER (WHERE m <> 4 AND b = 0) AS empty_local_private, round(avg(a) FILTER (WHERE m <> 4), 9) AS mean_local_public, (SELECT count(*) FROM e WHERE bad) = 0 AS valid FROM d""",
+    "validate_sft": f"""{SFT_ROWS} SELECT count(*) AS records_total, count(*) FILTER (WHERE m BETWEEN 1 AND 5) AS records_with_errors, count(*) FILTER (WHERE m NOT BETWEEN 1 AND 5) AS records_valid, CAST(0 AS BIGINT) AS records_with_warnings,
+  CAST(0 AS BIGINT) AS duplicate_global_public, CAST(0 AS BIGINT) AS duplicate_global_private, CAST(0 AS BIGINT) AS duplicate_local_public, CAST(0 AS BIGINT) AS duplicate_local_private,
+  count(*) FILTER (WHERE whole AND a = 0) AS empty_global_public, count(*) FILTER (WHERE whole AND b = 0) AS empty_global_private,
+  count(*) FILTER (WHERE whole AND m <> 4 AND a = 0) AS empty_local_public, count(*) FILTER (WHERE whole AND b = 0) AS empty_local_private, count(*) FILTER (WHERE m BETWEEN 1 AND 5) = 0 AS valid FROM d""",
+    "sft_statistics": f"""{SFT_ROWS}, v AS (SELECT unnest([{{'m': 'text_chars', 'v': CASE WHEN m = 2 THEN 1 ELSE 4 END}}, {{'m': 'anonymized_text_chars', 'v': 10}}, {{'m': 'global_public_triples', 'v': a}}, {{'m': 'global_private_triples', 'v': b}},
+  {{'m': 'local_public_triples', 'v': a + CASE WHEN m = 4 THEN 1 ELSE 0 END}}, {{'m': 'local_private_triples', 'v': b}}]) AS s FROM d WHERE whole) {STATISTICS}""",
+    "sft_errors": f"""{SFT_ROWS} SELECT line, CAST(0 AS BIGINT) AS nth, CASE m WHEN 1 THEN 'private[' || b || ']' WHEN 2 THEN 'text' WHEN 4 THEN 'o_public' ELSE '<record>' END AS location,
+  CASE m WHEN 1 THEN 'must contain exactly three items' WHEN 2 THEN 'must not be empty' WHEN 3 THEN 'missing fields: [''anonymized_text'']' WHEN 4 THEN '1 local public triples are absent from global public' ELSE 'invalid JSON' END AS message
+  FROM d WHERE m BETWEEN 1 AND 5""",
+    "sft_groups": f"""{SFT_ROWS}, o AS (SELECT line, fp, row_number() OVER (ORDER BY line) AS i, CASE WHEN fp = lag(fp) OVER (ORDER BY line) THEN 0 ELSE 1 END AS s FROM (SELECT line, x || CASE WHEN m = 1 THEN '+' ELSE '' END AS fp FROM d WHERE whole)),
+  r AS (SELECT fp, count(*) AS n FROM (SELECT *, sum(s) OVER (ORDER BY line) AS g FROM o) GROUP BY fp, g), u AS (SELECT fp, count(*) AS k, max(n) AS n FROM r GROUP BY fp)
+  SELECT CAST(sum(k) AS BIGINT) AS segments, max(n) AS max_segment, count(*) AS unique_values, count(*) FILTER (WHERE k > 1) AS non_contiguous FROM u""",
+    "validate_rl": f"""{RL_ROWS},
+e AS (SELECT rec, count(*) AS n FROM ({RL_ERRORS}) GROUP BY rec), c AS (SELECT count(DISTINCT rec) AS query_count, count(*) FILTER (WHERE m <> 4) AS document_count, count(*) FILTER (WHERE m <> 4 AND a = 0) AS empty_local_public,
+  count(*) FILTER (WHERE m <> 4 AND b = 0) AS empty_local_private, round(avg(a) FILTER (WHERE m <> 4), 9) AS mean_local_public FROM d),
+s AS (SELECT count(*) AS records_with_errors, CAST(coalesce(sum(n), 0) AS BIGINT) AS errors FROM e)
+SELECT *, round(empty_local_public / document_count, 9) AS empty_local_public_ratio, round(empty_local_private / document_count, 9) AS empty_local_private_ratio, round(records_with_errors / query_count, 9) AS malformed_record_ratio, records_with_errors = 0 AS valid FROM c, s""",
+    "rl_statistics": f"""{RL_ROWS}, v AS (SELECT unnest([{{'m': 'local_public_triples_per_document', 'v': a}}, {{'m': 'local_private_triples_per_document', 'v': b}}]) AS s FROM d WHERE m <> 4
+  UNION ALL SELECT {{'m': 'contexts_per_query', 'v': count(*)}} FROM d WHERE m <> 4 GROUP BY rec) {STATISTICS}""",
+    "rl_errors": f"""{RL_ROWS} SELECT rec AS line, row_number() OVER (PARTITION BY rec ORDER BY o) - 1 AS nth, location, message FROM ({RL_ERRORS})""",
     "metric_bounds": "SELECT event_type, count(*) + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS want_n, event_type <> 'click' AND max(value / 20) BETWEEN 0 AND 1 AS valid FROM events GROUP BY event_type",
     "json_typed_scan": "SELECT event_id, CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'BIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' END AS kind, CAST(props->>'$.k' AS BIGINT) AS k, json_type(props, '$.k') = 'VARCHAR' AS is_text FROM events",
     "record_counts": "WITH c AS (SELECT 'a' AS stage, count(*) AS n FROM documents UNION ALL SELECT 'b', count(*) FROM documents WHERE doc_id >= 0 UNION ALL SELECT 'c', count(*) FROM documents WHERE doc_id > 0) SELECT *, (SELECT min(n) = max(n) FROM c) AS conserved FROM c",

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import StructType
 
-from ..functions.scalars import NUMBER, TIMESTAMP, log_time
+from ..functions.scalars import TIMESTAMP, log_count, log_number, log_time
 from ..functions.triples import SPACE
+from .jsontext import json_after, json_after_marker, json_elements
 
+__all__ = ["count_lines", "dotted", "fetch", "file_digests", "inspect_gzip", "json_after", "json_after_marker", "json_array", "json_elements", "json_lines", "last_checkpoint", "numbered", "parquet_in_order", "text_lines", "training_log", "yaml_mapping"]
 
 SPLIT = ("_file", "_block")
 
@@ -70,10 +73,20 @@ def json_lines(spark: SparkSession, path: str, blanks: str = "skip", bad: str =
     return rows.where(F.col("rec").between(start, last)).select("line", "rec", "v")
 
 
-def json_array(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
-    """A JSON file that holds an array of objects, or one object, as rows."""
-    rows = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
-    return rows.limit(limit) if limit is not None else rows
+def json_array(spark: SparkSession, path: str, schema: str | None = None, limit: int | None = None) -> DataFrame:
+    """JSON files that hold an array each, or one object, as rows in order of files and elements.
+
+    Rows are numbered (rec, from 0); ``limit`` keeps the first. With a schema they have its columns, and an
+    element that does not fit is an error; without one they have v, a VARIANT.
+    """
+    rows = json_elements(spark, path)
+    sizes = rows.groupBy("file").agg(F.max("element").alias("n"))
+    before = sizes.select("file", F.coalesce(F.sum(F.col("n") + 1).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered_rows = rows.join(F.broadcast(before), "file").select((F.col("before") + F.col("element")).alias("rec"), "v")
+    kept = numbered_rows if limit is None else numbered_rows.where(F.col("rec") < limit)
+    if schema is None:
+        return kept
+    return kept.select("rec", F.variant_get("v", "$", StructType.fromDDL(schema).simpleString()).alias("row")).orderBy("rec").select("row.*")
 
 
 def parquet_in_order(spark: SparkSession, paths: list[str], columns: list[str], index: str = "row") -> DataFrame:
@@ -104,42 +117,87 @@ def count_lines(spark: SparkSession, path: str, blanks: bool = False) -> int:
     return lines.count() if blanks else lines.where(~F.regexp_like("value", F.lit(rf"\A{SPACE}*\z"))).count()
 
 
-@F.pandas_udf(StructType().add("sha256", StringType()).add("lines", LongType()))
-def gunzipped(content: pd.Series) -> pd.DataFrame:
-    """SHA-256 of the decompressed bytes and the number of lines that are not blank."""
-    import gzip
-    import io
+def _streamed(rows: DataFrame) -> DataFrame:
+    """(path, with_end, without_end, lines) of rows (path, start, value) that hold each file's lines in order: digests with and without the last line feed.
+
+    start is what stands before the first line.
+
+    A task holds one line and the state of a digest, whatever the file's size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, whole, cut, lines = None, hashlib.sha256(), None, 0
+        names = ["path", "with_end", "without_end", "lines"]
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(dict(zip(names, ([path], [whole.hexdigest()], [cut.hexdigest()], [lines]), strict=True)))
+
+        for batch in batches:
+            for here, start, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if here != path:
+                    if path is not None:
+                        yield told()
+                    path, whole, lines = here, hashlib.sha256(start), 0
+                data = value.as_py()
+                whole.update(data)
+                cut = whole.copy()
+                whole.update(b"\n")
+                lines += bool(data.strip())
+        if path is not None:
+            yield told()
 
-    out = []
-    for data in content:
-        digest, lines = hashlib.sha256(), 0
-        with gzip.open(io.BytesIO(data)) as f:
-            for line in f:
-                digest.update(line)
-                lines += bool(line.strip())
-        out.append((digest.hexdigest(), lines))
-    return pd.DataFrame(out, columns=["sha256", "lines"])
+    return rows.mapInArrow(run, "path string, with_end string, without_end string, lines long")
+
+
+def _bytes_of(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """(path, n): the files' unpacked bytes, and one more where the last byte is not ``end``."""
+    read = spark.read.option("lineSep", end).text(path)
+    return read.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.sum(F.octet_length("value") + 1).alias("n"))
 
 
 def inspect_gzip(spark: SparkSession, path: str) -> DataFrame:
-    """path, compressed bytes, sha256 and lines of gzip files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("compressed_bytes"), gunzipped("content").alias("g")).select("path", "compressed_bytes", "g.*")
+    """path, compressed_bytes, sha256 and lines (that are not blank) of packed files, of their unpacked bytes.
+
+    A packed file is one task's stream of lines. Whether it ends with a line feed tells a second count of its bytes,
+    with another end of line. An empty file has the digest of nothing. Spark's readers leave out a byte
+    order mark at a file's start, so a packed file that has one is digested without.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("compressed_bytes"))
+    told = _streamed(spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.lit(b"").alias("start"), F.col("value").cast("binary").alias("value")))
+    ended = _bytes_of(spark, path, "\n").join(_bytes_of(spark, path, "\0").withColumnRenamed("n", "other"), "path").select("path", (F.col("n") < F.col("other")).alias("ended"))
+    digest = F.coalesce(F.when(F.col("ended"), F.col("with_end")).otherwise(F.col("without_end")), F.lit(hashlib.sha256().hexdigest()))
+    both = told.join(ended, "path")
+    return _by_path(files, both).select("path", "compressed_bytes", digest.alias("sha256"), F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length and sha256 of plain files: their lines go to one task a file, in order, and are digested as they come. Scans leave out empty files."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    meta = lambda name: F.col(f"_metadata.{name}")
+    rows = spark.read.option("lineSep", "\n").text(path).select(meta("file_path").alias("path"), meta("file_size").alias("_size"), meta("file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("value"))
+    # Readers leave out a byte order mark, of three bytes, which the file's size shows.
+    short = F.sum(F.octet_length("value") + 1) - F.max("_size")
+    sizes = rows.groupBy("path").agg(F.when(short < -1, F.lit(b"\xef\xbb\xbf")).otherwise(F.lit(b"")).alias("start"), short.isin(0, -3).alias("ended"))
+    told = _streamed(rows.join(F.broadcast(sizes), "path").repartition("path").sortWithinPartitions("path", "_block", "_id").select("path", "start", "value"))
+    digest = F.coalesce(F.when(F.col("ended"), F.col("with_end")).otherwise(F.col("without_end")), F.lit(hashlib.sha256().hexdigest()))
+    return _by_path(files, told.join(sizes, "path")).select("path", "length", digest.alias("sha256"))
+
+
+def _by_path(files: DataFrame, told: DataFrame) -> DataFrame:
+    """The files with what is told of them; both sides may write a path's scheme in their own way."""
+    bare = lambda c: F.regexp_replace(F.try_url_decode(c), "^[a-z]+:/+", "/")
+    return files.withColumn("_bare", bare("path")).join(told.withColumn("_bare", bare("path")).drop("path"), "_bare", "left").drop("_bare")
 
 
 def training_log(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(reward rows, update rows) of a training log."""
+    """(reward rows, update rows) of a training log: the lines that have a time and all fields of their kind, in any order."""
     line = F.col(value)
-    at = lambda pattern, i, kind: F.regexp_extract(line, pattern, i).cast(kind)
-    n = f"({NUMBER})"
-    reward = rf"({TIMESTAMP}).*?step=(\d+) p=(\d+) mean_reward={n} mean_r_pub={n} mean_r_pri={n} lr={n}"
-    update = rf"({TIMESTAMP}).*?step=(\d+) update_seconds={n} kl={n}"
-    first = lines.where(F.regexp_like(line, F.lit(reward))).select(at(reward, 2, "long").alias("step"), at(reward, 3, "long").alias("p"), log_time(at(reward, 1, "string")).alias("reward_timestamp"), *(at(reward, i, "double").alias(c) for i, c in ((4, "mean_reward"), (5, "mean_r_pub"), (6, "mean_r_pri"), (7, "learning_rate"))))
-    second = lines.where(F.regexp_like(line, F.lit(update))).select(at(update, 2, "long").alias("step"), log_time(at(update, 1, "string")).alias("update_timestamp"), at(update, 3, "double").alias("update_seconds"), at(update, 4, "double").alias("kl"))
-    return first, second
+    stamp = F.regexp_extract(line, TIMESTAMP, 0)
+    at = F.when(stamp != "", log_time(stamp))
+    numbers = {"mean_reward": "mean_reward", "mean_r_pub": "mean_r_pub", "mean_r_pri": "mean_r_pri", "learning_rate": "lr"}
+    first = lines.select(log_count(line, "step").alias("step"), log_count(line, "p").alias("p"), at.alias("reward_timestamp"), *(log_number(line, f).alias(c) for c, f in numbers.items()))
+    second = lines.select(log_count(line, "step").alias("step"), at.alias("update_timestamp"), *(log_number(line, c).alias(c) for c in ("update_seconds", "kl")))
+    return first.dropna(), second.dropna()
 
 
 def last_checkpoint(lines: DataFrame, order: str, value: str = "value") -> DataFrame:
@@ -148,12 +206,6 @@ def last_checkpoint(lines: DataFrame, order: str, value: str = "value") -> DataF
     return lines.select(path.alias("path"), order).where("path <> ''").agg(F.max_by("path", order).alias("path"))
 
 
-def json_after(text: Column, marker: str) -> Column:
-    """The JSON object that follows a marker on its line, as VARIANT."""
-    rest = F.substring_index(text, marker, -1)
-    return F.when(F.contains(text, F.lit(marker)), F.try_parse_json(F.regexp_extract(rest, r"(\{.*\})", 1)))
-
-
 def yaml_mapping(path: str) -> dict:
     """A configuration file; its top level is a mapping."""
     import yaml

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import models, records, validate
+from graphloom.operators import models, records, reports, validate
 from graphloom.sources import ingest, sinks
 
 
@@ -163,12 +163,12 @@ def test_rl_and_sft_validators(spark):
     tag = "<subj>a<rel>b<obj>c<e>"
     good = {"question": "Q", "answers": ["a"], "public": [["a", "b", "c"]], "privacy": [], "ctxs": [{"id": 1, "text": "x", "public": [tag], "private": []}]}
     bad = [good | {"privacy": [["a", "b", "c"]]}, good | {"ctxs": []}, good | {"ctxs": [{"id": 1, "text": "x", "public": ["<subj>z<rel>b<obj>c<e>"], "private": []}]}, good | {"public": [["a", "b"]]}, {"public": []}]
-    assert validate.validate_rl(variant(spark, good), True).first().valid
-    assert validate.validate_rl(variant(spark, good, *bad)).first().records_with_errors == 5
+    assert reports.rl_counts(reports.describe_rl(variant(spark, good), True)).first().valid
+    assert reports.rl_counts(reports.describe_rl(variant(spark, good, *bad))).first().records_with_errors == 5
     row = {"public": [["a", "b", "c"]], "private": [], "text": "x", "anonymized_text": "y", "o_public": [tag], "o_private": []}
-    assert validate.validate_sft(variant(spark, row)).first().valid
-    out = validate.validate_sft(variant(spark, row, row | {"text": " "}, row | {"o_private": [tag]}, row | {"o_public": ["<csubj>a<crel>b<cobj>c<ce>"]})).first()
-    assert (out.records_total, out.records_with_errors, out.segments) == (4, 3, 1)
+    assert reports.sft_counts(reports.describe_sft(variant(spark, row))).first().valid
+    out = reports.report(reports.describe_sft(variant(spark, row, row | {"text": " "}, row | {"o_private": [tag]}, row | {"o_public": ["<csubj>a<crel>b<cobj>c<ce>"]})), "sft")
+    assert (out["counts"]["records_total"], out["counts"]["records_with_errors"], out["groups"]["segments"]) == (4, 3, 1)
 
 
 def test_models(spark):
