@@ -6,9 +6,12 @@ single. Pass two asks that filter about every row: single rows pass straight thr
 grouped by their digest (the largest groups without moving their rows). False positives of the filter are groups of one, so the result is exact.
 
 A filter of up to ``MAX_FILTER_BYTES`` is broadcast. For more rows than that serves, the hash space
-has slices of ``SLICE_CELLS`` cells; every slice's full cells are one row, and rows meet those of their
-slice in a join, all slices in one job. Slices are small, and a slice with a very frequent hash is
-split like any skewed join, so no task depends on how large the corpus or a group is.
+has slices of ``SLICE_CELLS`` cells; every slice's full cells are one row, and hashes, these eight bytes
+alone, meet those of their slice in a join, all slices in one job. Slices are small, and a slice with a very
+frequent hash is split like any skewed join, so no task depends on how large the corpus or a group
+is. The possibly repeated hashes that this leaves fill a second filter of ``MAX_FILTER_BYTES``, which
+is broadcast and asked about every row: so rows, with whatever texts they carry, stay where they are
+unless they may be repeated, at any size.
 """
 
 from __future__ import annotations
@@ -47,8 +50,8 @@ def _cells(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(20)) % np.uint64(size)).astype(np.int64), (mixed % np.uint64(size)).astype(np.int64)
 
 
-def _repeated_cells(hashes: DataFrame, size: int) -> DataFrame:
-    """(segment, bitmap of the cells that hold "2 and more"), empty bitmaps left out."""
+def _repeated_cells(hashes: DataFrame, size: int, least: int = 2) -> DataFrame:
+    """(segment, bitmap of the cells that hold ``least``, one or two, and more), empty bitmaps left out."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +71,7 @@ def _repeated_cells(hashes: DataFrame, size: int) -> DataFrame:
             at = np.frombuffer(once.as_py(), "<u4")
             total[at] = np.minimum(total[at] + 1, 2)
             total[np.frombuffer(twice.as_py(), "<u4")] = 2
-        bitmap = np.packbits(total > 1).tobytes()
+        bitmap = np.packbits(total >= least).tobytes()
         give_back()
         return pa.table({"part": [key[0].as_py()], "bitmap": pa.array([bitmap], pa.binary())})
 
@@ -79,18 +82,23 @@ def _repeated_cells(hashes: DataFrame, size: int) -> DataFrame:
 def flag_possibly_repeated(keys: DataFrame, hash_col: str, out: str) -> DataFrame:
     """Adds a boolean column: false only where no other row has the hash."""
     total = keys.count()
-    if total * BITS_PER_ROW <= MAX_FILTER_BYTES * 8:
-        size = max(1024, total * BITS_PER_ROW)
-        known = keys.sparkSession.sparkContext.broadcast({r.part: bytes(r.bitmap) for r in _repeated_cells(keys.select(hash_col), size).collect()})
-        return keys.withColumn(out, _asker(known, size)(F.col(hash_col)))
+    largest = MAX_FILTER_BYTES * 8
+    if total * BITS_PER_ROW <= largest:
+        size, hashes, least = max(1024, total * BITS_PER_ROW), keys.select(hash_col), 2
+    else:
+        size, hashes, least = largest, _repeated_in_slices(keys.select(F.col(hash_col).alias("h")), total), 1
+    known = keys.sparkSession.sparkContext.broadcast({r.part: bytes(r.bitmap) for r in _repeated_cells(hashes, size, least).collect()})
+    return keys.withColumn(out, _asker(known, size)(F.col(hash_col)))
+
+
+def _repeated_in_slices(hashes: DataFrame, total: int) -> DataFrame:
+    """The possibly repeated ones of ``total`` hashes h, each once, by filters of which each task holds a slice."""
     slices = -(-total * BITS_PER_ROW // SLICE_CELLS)
-    part, full = (fresh(x, keys.columns) for x in ("slice", "full"))
-    mixed = lambda i, n: F.pmod(F.xxhash64(F.col(hash_col), F.lit(i)), F.lit(n))
-    which, a, b = mixed(1, slices), mixed(2, SLICE_CELLS).cast("int"), mixed(3, SLICE_CELLS).cast("int")
-    cells = keys.select(which.alias(part), F.explode(F.array_distinct(F.array(a, b))).alias("cell")).groupBy(part, "cell").count().where("count > 1")
-    filters = cells.groupBy(part).agg(F.collect_list("cell").alias(full))
-    met = keys.withColumn(part, which).join(filters, part, "left")
-    return met.withColumn(out, F.coalesce(F.array_contains(full, a) & F.array_contains(full, b), F.lit(False))).select(*keys.columns, out)
+    mixed = lambda i, n: F.pmod(F.xxhash64("h", F.lit(i)), F.lit(n))
+    placed = hashes.select("h", mixed(1, slices).alias("slice"), mixed(2, SLICE_CELLS).cast("int").alias("a"), mixed(3, SLICE_CELLS).cast("int").alias("b"))
+    cells = placed.select("slice", F.explode(F.array_distinct(F.array("a", "b"))).alias("cell")).groupBy("slice", "cell").count().where("count > 1")
+    filters = cells.groupBy("slice").agg(F.collect_list("cell").alias("full"))
+    return placed.join(filters, "slice").where(F.array_contains("full", F.col("a")) & F.array_contains("full", F.col("b"))).select("h").distinct()
 
 
 def _asker(known: Broadcast, size: int) -> Callable[[Column], Column]:

@@ -20,6 +20,7 @@ work. Nothing is sampled or capped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import star_components
+from ..operators.graph import components
 from .common import checkpointed, give_back, join_skewed, small_batches
 
 SHINGLE = 3
@@ -49,7 +50,7 @@ LOOK, COMMON = 1 << 22, 1 << 20
 #: Bits of a parity sketch: least and most.
 BITS = (128, 8192)
 #: Pairs that a part which is not yet connected proposes, after the first round.
-PROPOSE = 8
+PROPOSE = 64
 #: Nodes and digests of 16 bytes that go to every task at most.
 MANY = 200_000
 KEY = ["token", "i", "j"]
@@ -171,16 +172,34 @@ def describe(docs: DataFrame, text_col: str, id_col: str, words: int, percent: i
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, d binary, n long, s binary, g binary, prefix array<long>, sketch binary")
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(token, i, j, c, g, n, pos, s, sketch): the nodes that meet under a token of their prefixes, once for each pair of chunks to compare."""
-    near = nodes.withColumn("near", F.xxhash64("g"))
-    groups = near.groupBy("g").agg(F.count("*").alias("m"), F.first("near").alias("near"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = groups.select("near", "n", "m", F.posexplode("prefix").alias("pos", "token"))
+def postings(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(token, near, pos, n, weight, total): the groups that meet others under a token of their prefixes, once each.
+
+    near is a hash of the group; total counts the nodes under the token. A group without another one
+    of a size near its own under the token is left out.
+    """
+    several = checkpointed(nodes.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"))
+    groups = rows.select("g", "n", "prefix").dropDuplicates(["g"]).join(_sized(several), "g", "left").select(F.xxhash64("g").alias("near"), "n", F.coalesce("m", F.lit(1)).alias("m"), "prefix")
     # Nodes of one group share their whole prefix: they meet under its first token alone.
-    met = postings.groupBy("token").agg(F.sum(F.when(F.col("pos") == 0, F.col("m")).otherwise(1)).alias("least"), F.sum("m").alias("total")).where("least > 1")
-    kept = postings.join(met, "token").select("token", "near", "pos", F.ceil(F.col("total") / TILE).cast("int").alias("chunks"))
-    members = kept.join(near.select("near", "g", "n", "s", "sketch"), "near").withColumn("c", F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int"))
-    other = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    all_ = groups.select("near", "n", "m", F.posexplode("prefix").alias("pos", "token")).select("token", "near", "pos", "n", "m", F.when(F.col("pos") == 0, F.col("m")).otherwise(1).alias("weight"))
+    met = all_.groupBy("token").agg(F.sum("weight").alias("least"), F.sum("m").alias("total")).where("least > 1").drop("least")
+    return all_.drop("m").join(met, "token")
+
+
+def near_in_size(met: DataFrame, percent: int) -> DataFrame:
+    """The postings whose token has another one of a size that could be linked: sizes of a class, by the logarithm, and of its neighbours."""
+    # A little less than the exact width, so that rounding puts no two sizes that could be linked two classes apart.
+    classed = met.withColumn("class", F.floor(F.log("n") / math.log(100 / percent) * 0.999999)) if percent < 100 else met.withColumn("class", F.col("n") * 2)
+    counts = classed.groupBy("token", "class").agg(F.sum("weight").alias("k"))
+    around = counts.select("token", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"), "k").groupBy("token", "class").agg(F.sum("k").alias("k")).where("k > 1").drop("k")
+    return classed.join(around, ["token", "class"]).drop("class")
+
+
+def members(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(token, i, j, c, g, n, pos, s, sketch): the nodes that meet under a token, once for each pair of chunks to compare."""
+    near = nodes.select(F.xxhash64("g").alias("near"), "g", "n", "s", "sketch")
+    each = met.select("token", "near", "pos", F.ceil(F.col("total") / TILE).cast("int").alias("chunks")).join(near, "near").withColumn("c", F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int"))
+    other = each.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return other.select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "g", "n", "pos", "s", "sketch")
 
 
@@ -376,24 +395,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u binary, v binary, ok boolean")
 
 
-def classes(docs: DataFrame, text_col: str, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+def classes(docs: DataFrame, text_col: str, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, comp) for the nodes that are linked to others."""
-    members = checkpointed(buckets(nodes))
-    asked = checkpointed(proposals(members.withColumn("comp", F.col("s")), percent))
+    met = checkpointed(near_in_size(postings(rows, nodes), percent))
+    asked = checkpointed(proposals(members(met, nodes).withColumn("comp", F.col("s")), percent))
     pairs = checkpointed(asked.select("u", "v").distinct())
     sets = checkpointed(whole_sets(docs, text_col, nodes, pairs, words))
     known = checkpointed(verified(pairs, sets, percent))
     failed = None
     while True:
-        links = known.where("ok").select("u", "v")
-        labels = star_components(links, [])
-        lost = asked.join(known.where("not ok").select("u", "v"), ["u", "v"]).select(*KEY, "u", "v")
-        fresh = checkpointed(lost)
+        labels = checkpointed(components(known.where("ok").select("u", "v"), []))
+        fresh = checkpointed(asked.join(known.where("not ok").select("u", "v"), ["u", "v"]).select(*KEY, "u", "v"))
         if fresh.isEmpty():
             return labels
-        failed = fresh if failed is None else checkpointed(failed.unionByName(fresh))
+        failed = fresh if failed is None else failed.unionByName(fresh)
         open_ = fresh.select(*KEY).distinct()
-        there = members.join(_sized(open_), KEY, "left_semi").join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("comp", F.coalesce("comp", "s"))
+        tokens = _sized(open_.select("token").distinct())
+        there = members(met.join(tokens, "token", "left_semi"), nodes).join(_sized(open_), KEY, "left_semi")
+        there = there.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("comp", F.coalesce("comp", "s"))
         asked = checkpointed(proposals(there, percent, failed.join(_sized(open_), KEY, "left_semi")))
         new = checkpointed(asked.select("u", "v").distinct().join(known.select("u", "v"), ["u", "v"], "left_anti"))
         if not new.isEmpty():
@@ -411,9 +430,9 @@ def jaccard_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     rows = checkpointed(describe(docs, text_col, id_col, words, percent, bits))
     some = rows.where("n > 0")
-    nodes = checkpointed(some.drop("id").dropDuplicates(["s"]))
+    nodes = checkpointed(some.select("s", "g", "d", "n", "sketch").dropDuplicates(["s"]))
     own = some.groupBy("s").agg(F.min("id").alias("own"), F.count("*").alias("copies"))
-    known = own.join(classes(docs, text_col, nodes, words, percent).withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("comp", "s"))
+    known = own.join(classes(docs, text_col, some, nodes, words, percent).withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("comp", "s"))
     tops = known.groupBy("root").agg(F.min("own").alias("component"))
     met = join_skewed(some.select("id", "n", "s"), known.join(tops, "root").select("s", "component", "copies"), "s", "copies")
     empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component"))

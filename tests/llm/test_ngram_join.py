@@ -97,7 +97,8 @@ def test_no_pair_within_a_group_is_made(spark):
     rows = [(i, " ".join([*base, f"end{i}"])) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     nodes = ngram_join.describe(df, "text", "doc_id", 3, 90).drop("id").dropDuplicates(["s"]).cache()
-    asked = ngram_join.proposals(ngram_join.buckets(nodes).selectExpr("*", "s AS comp"), 90)
+    met = ngram_join.near_in_size(ngram_join.postings(nodes, nodes), 90)
+    asked = ngram_join.proposals(ngram_join.members(met, nodes).selectExpr("*", "s AS comp"), 90)
     assert asked.groupBy("token", "i", "j").count().agg({"count": "max"}).first()[0] < 400
     assert joined(spark, rows) == [(i, 299, 0) for i in sorted(range(400), key=lambda i: repr((i, 299, 0)))]
 
