@@ -132,6 +132,40 @@ def artifact_digests(spark, d, folder):
     return packed.unionByName(plain)
 
 
+@query("""WITH f AS (SELECT doc_id % 4 AS k, sha256(string_agg(doc_id || chr(10), '' ORDER BY doc_id)) AS sha256, count(*) AS lines FROM documents GROUP BY 1), k AS (SELECT unnest(['artifacts', 'inputs']) AS form)
+SELECT form, CAST(k AS BIGINT) AS k, sha256, lines, k <> 3 AS valid FROM f, k""")
+def artifact_manifests(spark, d, folder):
+    """Packed files of document ids against manifests of both forms, in which the last file's count is wrong."""
+    ids = table(spark, d, "documents").select("doc_id")
+    for k in range(4):
+        ids.where(F.col("doc_id") % 4 == k).coalesce(1).sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string")).write.option("compression", "gzip").text(f"{folder}/packed/{k}")
+    found = checkpointed(ingest.inspect_gzip(spark, f"{folder}/packed/*/*.gz").withColumn("k", F.regexp_extract("path", r"/(\d)/[^/]*$", 1).cast("long")))
+    name, told = F.regexp_extract("path", r"([^/]+)$", 1), F.col("lines") + F.when(F.col("k") == 3, 1).otherwise(0)
+    entries = {
+        "artifacts": F.struct(name.alias("file"), told.alias("records"), "compressed_bytes", F.col("sha256").alias("uncompressed_sha256")),
+        "inputs": F.struct(F.concat(F.lit("/out/"), F.regexp_replace(name, r"\.gz$", "")).alias("output"), F.col("sha256").alias("output_sha256"), told.alias("output_records")),
+    }
+    rows = None
+    for form, entry in entries.items():
+        found.agg(F.to_json(F.struct(F.collect_list(entry).alias(form)))).write.text(f"{folder}/{form}")
+        judged = sinks.verify_artifacts(found, sinks.manifest_entries(ingest.json_elements(spark, f"{folder}/{form}")))
+        one = judged.join(found.select(name.alias("file"), "k", "lines"), "file").select(F.lit(form).alias("form"), "k", "sha256", "lines", "valid")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id % 16, doc_id) - 1 AS rec, doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
+def json_array_blocks(spark, d, folder):
+    """All documents in sixteen files, each of which is one JSON array, read by blocks."""
+    docs = table(spark, d, "documents").select(F.lpad((F.col("doc_id") % 16).cast("string"), 2, "0").alias("file"), "doc_id", F.to_json(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("item"))
+    ends = docs.groupBy("file").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    mark = lambda end, yes, no: F.when(F.col("doc_id") == F.col(end), yes).otherwise(no)
+    rows = docs.join(F.broadcast(ends), "file").select("file", "doc_id", F.concat(mark("first", "[", ""), "item", mark("last", "]", ",")).alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(f"{folder}/arrays")
+    rows = ingest.json_array(spark, f"{folder}/arrays")
+    return rows.select("rec", field("doc_id", "long").alias("doc_id"), F.sha2(field("text", "string"), 256).alias("digest"))
+
+
 @query("SELECT '/ckpt/' || max(event_id) FILTER (WHERE event_id % 100 = 0) AS path FROM events")
 def last_checkpoint(spark, d, folder):
     i = F.col("event_id")

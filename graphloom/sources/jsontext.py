@@ -5,7 +5,7 @@ string" around (an odd number of quotes), and it changes the depth of brackets b
 begins outside of a string and by another if inside. Such turns compose like numbers add, so running
 sums over pieces, of which one row per file block crosses blocks, tell for every piece where it begins. No task
 reads a file whole: elements that end in the piece in which they begin stay where they are, and only the pieces
-of the others meet.
+of the others meet. What several branches read is cut in the shared folder.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import checkpointed
+
 END = "}"
 OPEN, CLOSE = r"[\[{]", r"[\]}]"
 
@@ -70,11 +72,11 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
 
     Any other top level, and what is no JSON, is an error. An empty or blank file has no element. Files are UTF-8; packed ones are read by a task each.
     """
-    rows = _scanned(_pieces(spark, path))
+    rows = checkpointed(_scanned(_pieces(spark, path)))
     totals = rows.groupBy("_file").agg(F.sum("_step").alias("_left"))
     known = rows.where("_top is not null").join(F.broadcast(totals), "_file")
     base = F.when(F.col("_top") == "[", 1).otherwise(0)
-    marked = _running(known.withColumn("_ends", F.col("_ends") & (F.col("_depth") + F.col("_step") == base)), F.when(F.col("_ends"), 1).otherwise(0), "_nth")
+    marked = checkpointed(_running(known.withColumn("_ends", F.col("_ends") & (F.col("_depth") + F.col("_step") == base)), F.when(F.col("_ends"), 1).otherwise(0), "_nth"))
     text = F.concat("piece", F.when(F.col("closed"), F.lit(END)).otherwise(F.lit(""))).alias("text")
     keys = ("_file", "_top", "_left", "_nth")
     # An element that began in an earlier piece has this one begin inside of its brackets, or of a string.
@@ -100,7 +102,7 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
         .when(blank(last), F.lit(""))
         .otherwise(last)
     )
-    made = groups.withColumn("array", F.variant_get(F.parse_json(F.concat(F.lit("["), array, F.lit("]"))), "$", "array<variant>")).drop("text")
+    made = checkpointed(groups.select("_file", "_block", "_id", F.variant_get(F.parse_json(F.concat(F.lit("["), array, F.lit("]"))), "$", "array<variant>").alias("array")))
     placed = _running(made, F.size("array"), "_before")
     return placed.select("_file", "_before", F.posexplode("array").alias("_at", "v")).select(F.col("_file").alias("file"), (F.col("_before") + F.col("_at")).alias("element"), "v")
 
@@ -118,7 +120,7 @@ def json_after_marker(spark: SparkSession, path: str, marker: str) -> DataFrame:
     opens = after.where(F.contains("piece", F.lit("{"))).groupBy("_file").agg(F.min("_place").alias("_open"))
     held = after.join(F.broadcast(opens), "_file").where(F.col("_place") >= F.col("_open"))
     held = held.withColumn("piece", F.when(F.col("_place") == F.col("_open"), F.expr("substring(piece, locate('{', piece))")).otherwise(F.col("piece")))
-    scanned = _scanned(held)
+    scanned = checkpointed(_scanned(held))
     ends = scanned.where(F.col("_ends") & (F.col("_depth") + F.col("_step") == 0)).groupBy("_file").agg(F.min("_place").alias("_end"))
     mine = scanned.join(F.broadcast(ends), "_file").where(F.col("_place") <= F.col("_end"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", F.concat("piece", F.lit(END)).alias("t")))), lambda x: x["t"]), "")

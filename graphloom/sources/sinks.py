@@ -51,6 +51,20 @@ def markdown(df: DataFrame, title: str) -> str:
     return f"# {title}\n\n| field | value |\n|---|---|\n{rows}\n"
 
 
+def manifest_entries(manifests: DataFrame) -> DataFrame:
+    """(file, records, compressed_bytes, sha256) of manifests (v, VARIANT): a list ``artifacts`` of packed files, or a list ``inputs`` of outputs that were packed since.
+
+    Outputs have no packed size. A manifest with neither list is an error.
+    """
+    outputs = F.try_variant_get("v", "$.inputs", "array<struct<output:string,output_sha256:string,output_records:bigint>>")
+    artifacts = F.try_variant_get("v", "$.artifacts", "array<struct<file:string,records:bigint,compressed_bytes:bigint,uncompressed_sha256:string>>")
+    entry = lambda file, records, size, digest: F.struct(file.alias("file"), records.alias("records"), size.alias("compressed_bytes"), digest.alias("sha256"))
+    packed = F.transform(artifacts, lambda x: entry(x["file"], x["records"], x["compressed_bytes"], x["uncompressed_sha256"]))
+    plain = F.transform(outputs, lambda x: entry(F.concat(F.substring_index(x["output"], "/", -1), F.lit(".gz")), x["output_records"], F.lit(None).cast("long"), x["output_sha256"]))
+    none = F.raise_error(F.lit("a manifest lists artifacts or inputs")).cast("array<struct<file:string,records:bigint,compressed_bytes:bigint,sha256:string>>")
+    return manifests.select(F.explode(F.coalesce(packed, plain, none)).alias("e")).select("e.*")
+
+
 def verify_artifacts(found: DataFrame, manifest: DataFrame, key: str = "file") -> DataFrame:
     """Manifest rows (file, records, compressed_bytes, sha256) with valid: found, and all three agree."""
     have = found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias(key), F.col("lines").alias("f_records"), F.col("compressed_bytes").alias("f_bytes"), F.col("sha256").alias("f_sha"))
