@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back, small_batches
+from .common import checkpointed, give_back, names_apart, small_batches
 from .packing import Ids
 from .token_bpe import PLAIN
 
@@ -155,6 +155,7 @@ def _frequent(counts: DataFrame, most: int) -> int:
     return 1 << min(least, 62)
 
 
+@names_apart("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups")
 def align_tokens(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text", id_col: str = "doc_id", keep: bool = False, most: int = MOST) -> DataFrame:
     """One row per row of ``docs``: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (and groups if ``keep``).
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-from functools import lru_cache
+import inspect
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import checkpointed, shared_folder
 
-__all__ = ["BLANK", "checkpointed", "fresh", "give_back", "join_skewed", "remove", "shared_folder", "small_batches", "table", "text_or_empty"]
+__all__ = ["BLANK", "checkpointed", "fresh", "give_back", "join_skewed", "names_apart", "remove", "shared_folder", "small_batches", "table", "text_or_empty"]
 #: ASCII white space as a Java character class.
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -38,6 +40,30 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def names_apart(*outputs: str) -> Callable:
+    """For operators (docs, ..., id_col) that return the id beside ``outputs``: an id column of such a name keeps it, and the output gets a ``_`` before its own."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+
+        @wraps(operator)
+        def run(*args, **options) -> DataFrame:
+            bound = signature.bind(*args, **options)
+            bound.apply_defaults()
+            docs, id_col = bound.arguments["docs"], bound.arguments["id_col"]
+            if id_col.lower() not in map(str.lower, outputs):
+                return operator(*args, **options)
+            safe = fresh("row_id", [*docs.columns, *outputs])
+            bound.arguments["docs"] = docs.withColumnRenamed(id_col, safe)
+            bound.arguments.update({k: safe for k in ("id_col", "text_col") if bound.arguments.get(k) == id_col})
+            out = operator(*bound.args, **bound.kwargs)
+            return out.select(*(F.col(c).alias(id_col if c == safe else fresh(c, [id_col])) for c in out.columns))
+
+        return run
+
+    return wrap
+
+
 def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, most: int = 1000, least: int = 1000) -> DataFrame:
     """Inner join with a right side that has one row for each key and, in ``weight``, about how many rows of the left side have it.
 

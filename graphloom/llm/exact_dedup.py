@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, checkpointed, fresh, give_back, join_skewed, text_or_empty
+from .common import BLANK, checkpointed, fresh, give_back, join_skewed, names_apart, text_or_empty
 
 BITS_PER_ROW = 16
 MAX_FILTER_BYTES = 32 << 20
@@ -131,6 +131,7 @@ def _decided(docs: DataFrame, sha: str, id_col: str, taken: list[str]) -> tuple[
     return flagged.where(~F.col(maybe)).drop(maybe), join_skewed(again, groups, sha, size), (keep, size, n_keep)
 
 
+@names_apart("keep_id", "group_size", "kept", "text_sha256")
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, text_or_empty
+from .common import checkpointed, fresh, names_apart, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: So many lines at most, of so many documents at least, are met by broadcast.
@@ -35,6 +35,7 @@ def repeated_lines(docs: DataFrame, text_col: str, id_col: str, min_chars: int,
     return counted.where(F.col("n") >= min_docs)
 
 
+@names_apart("n_lines", "n_dropped", "kept_text")
 def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, n_lines, n_dropped and kept_text.
 

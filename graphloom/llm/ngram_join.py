@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import checkpointed, give_back, join_skewed, small_batches
+from .common import checkpointed, give_back, join_skewed, names_apart, small_batches
 
 SHINGLE = 3
 PERCENT = 90
@@ -419,6 +419,7 @@ def classes(docs: DataFrame, text_col: str, rows: DataFrame, nodes: DataFrame, w
             known = checkpointed(known.unionByName(verified(new, sets, percent)))
 
 
+@names_apart("n_shingles", "component_id")
 def jaccard_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = SHINGLE, percent: int = PERCENT, bits: tuple[int, int] = BITS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import star_components
-from .common import checkpointed, fresh, give_back, join_skewed, small_batches
+from .common import checkpointed, fresh, give_back, join_skewed, names_apart, small_batches
 
 SHINGLE = 3
 RADIUS = 2
@@ -164,6 +164,7 @@ def _grouped(rows: DataFrame, radius: int) -> DataFrame:
     return components(links(rows.select("fp").distinct(), radius))
 
 
+@names_apart("fingerprint", "component_id")
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id.
 

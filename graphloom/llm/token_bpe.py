@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import names_apart, small_batches
 
 CACHE, CACHED_LENGTH = 300_000, 64
 #: The fixed words of the tokenizer's own split, as its file states them.
@@ -207,6 +207,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@names_apart("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
 def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", keep: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded if ``keep``).
 

@@ -17,23 +17,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 
 KEY_DEPTH = 12
 
 
+def _bare(url: Column) -> Column:
+    """A url from its authority on: no control characters or blanks around it, no tabs or line ends inside, no scheme; backslashes count as slashes."""
+    clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    ahead = F.regexp_replace(F.regexp_extract(clean, r"^[^?#]*", 0), r"\\", "/")
+    return F.regexp_replace(ahead, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//+", "")
+
+
 def host_of(url: Column) -> Column:
-    """Lower-case host without credentials, port and dots at its end; null without a host."""
-    rest = F.regexp_replace(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", "")
-    host = F.regexp_extract(rest, r"^(?:[^/?#@]*@)?([^/?#:@]+)", 1)
-    host = F.regexp_replace(F.lower(host), r"\.+\z", "")
+    """Lower-case host without credentials (all up to the last @), port and dots at its end; an IPv6 address in its brackets. Null without a host."""
+    authority = F.regexp_replace(F.regexp_extract(_bare(url), r"^[^/]*", 0), r"^.*@", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]+)", 1)), r"\.+\z", "")
     return F.when(host != "", host)
 
 
 def path_of(url: Column) -> Column:
     """Path without query and fragment, its segments parted by single slashes, none at its ends."""
-    rest = F.regexp_replace(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", "")
-    path = F.regexp_replace(F.regexp_replace(rest, r"[?#][\s\S]*\z", ""), r"^[^/]*", "")
+    path = F.regexp_replace(_bare(url), r"^[^/]*", "")
     return F.btrim(F.regexp_replace(path, "/+", "/"), F.lit("/"))
 
 
@@ -91,7 +96,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     All rules active at fetch time count. The longest pattern decides, then the later start, then the
     smaller list name; a capture is blocked unless no rule is active or the deciding list is in
     ``allow``. A url without a host, or a capture without a time, meets no rule and is not blocked.
-    Repeated captures get the same answer each; an empty list blocks nothing. What the driver sees is
+    Repeated captures get the same answer each; an empty list blocks nothing. Where captures have a
+    column of a result's name, the result gets a ``_`` before it. What the driver sees is
     the number of labels of the longest domain rule, and the months that have captures.
     """
     inside = {c: f"c{i}" for i, c in enumerate(captures.columns)}
@@ -118,11 +124,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     answers = hits.groupBy("u", "at").agg(F.count("*").alias("n_active"), best.alias("best"))
     joined = rows.join(answers, (url == F.col("u")) & (at == F.col("at")), "left")
     hit = F.col("best.list")
-    return joined.select(
-        *(F.col(v).alias(k) for k, v in inside.items()),
-        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
-        F.col("best.pattern").alias("rule"),
-        hit.alias("rule_list"),
-        F.col("best.category").alias("category"),
-        (hit.isNotNull() & ~hit.isin(*allow)).alias("blocked"),
-    )
+    told = {
+        "n_active": F.coalesce("n_active", F.lit(0)).cast("long"),
+        "rule": F.col("best.pattern"),
+        "rule_list": hit,
+        "category": F.col("best.category"),
+        "blocked": hit.isNotNull() & ~hit.isin(*allow),
+    }
+    return joined.select(*(F.col(v).alias(k) for k, v in inside.items()), *(c.alias(fresh(k, captures.columns)) for k, c in told.items()))

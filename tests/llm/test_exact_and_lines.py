@@ -6,8 +6,9 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.llm import exact_dedup, line_dedup
+from graphloom.llm import exact_dedup, line_dedup, ngram_join, simhash
 
 DDL = "doc_id long, text string, lang string, hash long, maybe string, keep_id string"
 
@@ -83,6 +84,30 @@ def test_many_slices_and_hot_groups_stay_exact(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == plain_exact(rows)
 
 
+def test_no_text_moves_to_be_judged(spark, monkeypatch):
+    """Beyond one filter, too, rows are flagged where they are; hashes alone go through slices."""
+    rows = [(i, f"text {i % 900}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    for limit in (1 << 20, 500):
+        monkeypatch.setattr(exact_dedup, "MAX_FILTER_BYTES", limit)
+        flagged = exact_dedup.flag_possibly_repeated(df, "h", "flag")
+        assert "Exchange" not in flagged._jdf.queryExecution().executedPlan().toString()
+        sure = {r.doc_id for r in flagged.where("not flag").collect()}
+        assert sure <= set(range(100, 900)) and len(sure) > (700 if limit > 500 else 50)
+
+
+@pytest.mark.parametrize(
+    ("operator", "name"),
+    [(exact_dedup.exact_dedup, "kept"), (line_dedup.line_dedup, "n_lines"), (simhash.near_duplicates, "fingerprint"), (ngram_join.jaccard_classes, "component_id")],
+)
+def test_ids_named_like_results(spark, operator, name):
+    df = spark.createDataFrame([(2, "a b c d"), (1, "a b c d")], f"{name} long, text string")
+    plain = operator(df.withColumnRenamed(name, "doc_id"))
+    got = operator(df, id_col=name)
+    assert got.columns == [name, *("_" + c if c == name else c for c in plain.columns[1:])]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def plain_lines(rows, least=3, chars=20):
     key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", x).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     held = defaultdict(list)
